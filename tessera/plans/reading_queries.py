@@ -150,7 +150,7 @@ def date_clauses(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in text.TITLE_STOPWORDS)
 
 
-@query(f"""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(p_name || ' of the ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ')), x -> x <> '' AND x NOT IN ({_STOP}))), ' ') AS words FROM part""")
+@query(f"""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(p_name || ' of the ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: x <> '' AND x NOT IN ({_STOP}))), ' ') AS words FROM part""")
 def title_words(spark, sf_dir):
     title = F.concat(F.col("p_name"), F.lit(" of the "), F.col("p_type"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(text.title_words(title)), " ").alias("words"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sections and whether they must be there.
-SECTIONS = {"core": True, "kjv": True, "concord": False, "kretzmann": False, "lexicon": False}
+SECTIONS = {"core": True, "text": True, "articles": False, "commentary": False, "lexicon": False}
 SCHEMA_VERSION = 27
 
 
