@@ -29,6 +29,10 @@ ERRORS = 1
 MIN_CHARS = 20
 #: Ids are broadcast up to this number (about 16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: More lines than this with one key are a crowd.
+CROWD = 32
+#: Parts into which a crowd's window is cut.
+WINDOWS = 8
 _LAST = (1 << 63) - 1
 
 
@@ -85,15 +89,35 @@ def segment_keys(lines: DataFrame, errors: int) -> DataFrame:
     return lines.select("id", F.explode(F.array(*keys)).alias("k")).select("k.key", "id", "k.own")
 
 
-def edit_links(lines: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """``a, b``: ids of different lines within ``errors`` edits, each pair once."""
+def _met(shared: DataFrame, *keys: str) -> DataFrame:
+    """``a, b``: pairs of lines with a common key, one of which has it as its own."""
+    index = shared.where("own").select(*keys, F.col("id").alias("x"))
+    probe = shared.select(*keys, F.col("id").alias("y"), "own")
+    met = index.join(probe, [*keys]).where((F.col("x") != F.col("y")) & (~F.col("own") | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows whose key another row has too, one of them as its own; ``n`` rows have it."""
     group = Window.partitionBy("key")
-    shared = segment_keys(lines, errors).withColumns({"n": F.count(F.lit(1)).over(group), "m": F.max("own").over(group)})
-    shared = materialize(shared.where((F.col("n") > 1) & F.col("m")).select("key", "id", "own"), "segments")
-    index = shared.where("own").select("key", F.col("id").alias("a"))
-    probe = shared.select("key", F.col("id").alias("b"), "own")
-    met = index.join(probe, "key").where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))))
-    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    counted = keyed.withColumns({"n": F.count(F.lit(1)).over(group), "_own": F.max("own").over(group)})
+    return materialize(counted.where((F.col("n") > 1) & F.col("_own")).drop("_own"), "segments")
+
+
+def edit_links(lines: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """``a, b``: ids of different lines within ``errors`` edits, each pair once.
+
+    Keys that many lines share make no pairs for one edit: ``_crowded`` finds
+    those lines' links otherwise, and keeps a spanning star of a crowd whose
+    members are all linked.
+    """
+    shared = _shared(segment_keys(lines, errors))
+    crowd = F.col("n") > CROWD if errors == 1 else F.lit(False)
+    found = _met(shared.where(~crowd), "key")
+    if errors == 1:
+        crowded = shared.where(crowd).select("id").distinct()
+        found = found.unionAll(_crowded(materialize(_few(lines.select("id", "line", "chars"), crowded, "left_semi"), "crowded")))
+    pairs = materialize(found.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     texts = materialize(_few(lines.select("id", "line"), ids, "left_semi"), "pair-lines")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
@@ -101,6 +125,40 @@ def edit_links(lines: DataFrame, errors: int = ERRORS) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near >= 0).select("a", "b")
 
 
+def _crowded(lines: DataFrame) -> DataFrame:
+    """``a, b``: candidates for one edit among lines that share a segment with many others.
+
+    The edit lies in one of several windows of the shorter line, so both lines
+    agree before and after that window: a key that leaves out an eighth of the
+    line, not a half.  Keys that are still crowded are cut into windows of
+    their window, down to a single character; then all lines of one length are
+    within one edit of each other and a star spans them, and a longer line
+    needs a shorter one that has one of its two characters there.
+    """
+    roles = F.array(F.struct(F.col("chars").alias("short"), F.lit(True).alias("own")), F.struct((F.col("chars") - 1).alias("short"), F.lit(False).alias("own")))
+    rows = lines.select("id", "line", "chars", F.explode(roles).alias("r")).select("id", "line", "chars", "r.short", "r.own", F.lit(0).alias("lo"), F.col("r.short").alias("hi"))
+    found = lines.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    while True:
+        edge = lambda j: F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * j / WINDOWS).cast("int")
+        cuts = F.array(*[F.struct(edge(j).alias("from"), edge(j + 1).alias("to")) for j in range(WINDOWS)])
+        cut = rows.withColumn("w", F.explode(cuts)).where("w.to > w.from").select("id", "line", "chars", "short", "own", F.col("w.from").alias("lo"), F.col("w.to").alias("hi"))
+        after = F.col("short") - F.col("hi")
+        key = F.xxhash64("short", "lo", "hi", F.substring("line", F.lit(1), F.col("lo")), F.substring("line", F.col("chars") - after + 1, after))
+        level = _shared(cut.select(key.alias("key"), "id", "own", "short", "lo", "hi"))
+        found = found.unionAll(_met(level.where(F.col("n") <= CROWD), "key"))
+        dense = level.where(F.col("n") > CROWD).join(lines, "id")
+        letter = lambda k: F.substring("line", F.col("lo") + k, F.lit(1))
+        last = dense.where("hi - lo = 1")
+        mine = last.where("own").select("key", F.col("id").alias("b"), letter(1).alias("letter"))
+        star = mine.join(mine.groupBy("key").agg(F.min("b").alias("a")), "key").where("a <> b").select("a", "b")
+        longer = last.where("not own").select("key", F.col("id").alias("y"), F.explode(F.array_distinct(F.array(letter(1), letter(2)))).alias("letter"))
+        met = longer.join(mine, ["key", "letter"]).select(F.least("y", "b").alias("a"), F.greatest("y", "b").alias("b"))
+        found = materialize(found.unionAll(star).unionAll(met).distinct(), "crowded-pairs")
+        rows = materialize(dense.where("hi - lo > 1").select("id", "line", "chars", "short", "own", "lo", "hi"), "dense")
+        if rows.head() is None:
+            return found
+
+
 def _few(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Join a large table with few ids: broadcast them where their number allows."""
     ids = materialize(ids, "ids")
@@ -125,10 +183,10 @@ def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_C
 
 
 def removals(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, text_hash, removed, near, n_links, first_docs`` for each text with lines to remove.
+    """``doc_id, text_hash, removed, near, n_links, first_doc`` for each text with lines of a class.
 
     ``removed``: places of lines; ``near``: how many of them differ from the
-    class's first; ``first_docs``: the documents that keep those lines.
+    class's first; ``first_doc``: the least document that keeps one of those lines.
     """
     classes = repeated_lines(docs, errors, min_chars)
     found = occurrences(docs, min_chars).select("doc_id", "text_hash", "place", *_hashes(F.col("line"))).join(classes, ["h1", "h2"])
@@ -139,7 +197,7 @@ def removals(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS)
         F.collect_set(F.when(~F.col("stays"), F.col("place"))).alias("removed"),
         F.count_if(~F.col("stays") & (F.col("line_first") != F.col("first_id"))).alias("near"),
         F.sum("n_links").alias("n_links"),
-        F.sort_array(F.collect_set(F.when(~F.col("stays") & (F.col("first_id") != _LAST), F.col("first_id")))).alias("first_docs"),
+        F.min(F.when(~F.col("stays") & (F.col("first_id") != _LAST), F.col("first_id"))).alias("first_doc"),
     )
 
 
@@ -162,7 +220,7 @@ def deduplicated(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHA
 
 
 def report(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each document: its lines, those removed, its links, and the documents that keep those lines."""
+    """One row for each document: its lines, those removed, its links, and the least document that keeps one of those lines."""
     met = _joined(docs.select("doc_id", "text"), errors, min_chars)
     return met.select(
         F.col("_id").alias("doc_id"),
@@ -170,6 +228,6 @@ def report(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) ->
         F.greatest(F.lit(0), F.coalesce(F.size("removed"), F.lit(0))).cast("long").alias("n_removed"),
         F.coalesce("near", F.lit(0)).cast("long").alias("n_removed_near"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"),
+        "first_doc",
         F.sha2(F.coalesce("cleaned", F.lit("")), 256).alias("cleaned_sha256"),
     )

@@ -74,4 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    """The SQL of those that SQL can express."""
+    from tessera.llm import oracles as sql
+
+    return sql.oracles()

@@ -264,6 +264,31 @@ def test_edit_links_equal_brute_force(spark, errors):
     assert got == want and want
 
 
+def test_crowds_make_no_pairs_of_their_members(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 4)
+    base = fixtures.words(random.Random(6), 12)[:60]
+    lines = {base}
+    for k in (3, 30, 59):
+        lines |= {base[:k] + c + base[k + 1 :] for c in "abcdefghijkl"} | {base[:k] + c + base[k:] for c in "mnopqrstu"} | {base[:k] + base[k + 1 :]}
+    lines |= {base + c for c in "vwxyz"} | {x[:10] + "#" + x[11:] for x in list(lines)[:20]} | {"%%" + x[2:] for x in list(lines)[:20]}
+    lines = sorted(lines)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    table = line_dedup.distinct_lines(docs)
+    text = {r["id"]: r["line"] for r in table.collect()}
+    got = {frozenset((text[r["a"]], text[r["b"]])) for r in line_dedup.edit_links(table, 1).collect()}
+    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if within(a, b, 1)}
+    assert got < want
+
+    def groups(pairs):
+        root = {x: x for x in lines}
+        for _ in lines:
+            for a, b in map(tuple, pairs):
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(got) == groups(want)
+
+
 def test_line_dedup_rows(spark, tmp_path):
     lines = near_lines()
     data = [(100 + i // 4, "\n".join(lines[i : i + 4]) + "\nshort", None, None, None) for i in range(0, len(lines), 4)]
