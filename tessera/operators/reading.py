@@ -6,20 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import ranges
+
 #: Units in a window unless asked, the most of them, and how far a chapter is probed.
 WINDOW, MAX_WINDOW, CHAPTER_PROBE = 1, 500, 200
 
 
 def spine(units: DataFrame, chapter: str = "chapter", verse: str = "verse") -> DataFrame:
-    """Add ``ord``, each unit's place in the whole order, from 0.
-
-    Chapters are counted by one aggregate and added up over chapters; within a
-    chapter units are numbered by themselves, so no task sorts all units.
-    """
-    sizes = units.groupBy(chapter).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(chapter, F.coalesce(F.sum("_n").over(Window.orderBy(chapter).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(chapter).orderBy(verse)) - 1
-    return units.withColumn("_inside", inside).join(before, chapter).withColumn("ord", (F.col("_before") + F.col("_inside")).cast("long")).drop("_inside", "_before")
+    """Add ``ord``, each unit's place in the whole order by chapter and verse, from 0."""
+    return ranges.placed(units, chapter, [verse])
 
 
 def clamp(n: object, default: int = WINDOW, most: int = MAX_WINDOW) -> int:

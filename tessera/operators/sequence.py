@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import timeline
+from tessera.operators import ranges
 
 
 def steps(rows: DataFrame, chain: list[str], item: str, order: list[str | Column]) -> DataFrame:
@@ -24,13 +25,10 @@ def neighbours(rows: DataFrame, chain: list[str], item: str, order: list[str | C
 def timeline_order(events: DataFrame, year: str, tie: list[str], place: str = "seq") -> DataFrame:
     """Add each event's place in the whole timeline, from 0.
 
-    Years are counted by an aggregate and added up over years, of which there
-    are few; within a year events are ranked by themselves.
+    ``year`` may be any whole number that orders events, such as a day: the
+    finer it is, the more evenly rows are dealt.
     """
-    sizes = events.groupBy(year).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(year, F.coalesce(F.sum("_n").over(Window.orderBy(year).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(year).orderBy(*tie)) - 1
-    return events.withColumn("_in", inside).join(F.broadcast(before), year).withColumn(place, (F.col("_before") + F.col("_in")).cast("long")).drop("_in", "_before")
+    return ranges.placed(events, year, tie, place)
 
 
 def placements(events: DataFrame, anchors: DataFrame) -> DataFrame:

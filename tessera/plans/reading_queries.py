@@ -176,8 +176,9 @@ def text_segments(spark, sf_dir):
 @query("""WITH d AS (SELECT 'core' AS section, 'nation' || chr(9) || '{"k":' || n_nationkey || ',"n":"' || n_name || '"}' AS line FROM nation
 UNION ALL SELECT 'core', 'region' || chr(9) || '{"k":' || r_regionkey || ',"n":"' || r_name || '"}' FROM region
 UNION ALL SELECT 'people', 'customer' || chr(9) || '{"k":' || c_custkey || ',"n":"' || c_name || '"}' FROM customer)
-SELECT section, count(*) AS n_rows, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS hash FROM (
- SELECT section, bucket, sum(n) AS n, sha256(string_agg(x, chr(10) ORDER BY x)) AS h FROM (SELECT section, substr(sha256(line), 1, 2) AS bucket, sha256(line) AS x, 1 AS n FROM d) GROUP BY 1, 2) GROUP BY 1""".replace("count(*) AS n_rows", "CAST(sum(n) AS BIGINT) AS n_rows"))
+SELECT section, n_rows, sha256(n_rows || ',' || s0 || ',' || s1 || ',' || s2 || ',' || s3) AS hash FROM (
+ SELECT section, count(*) AS n_rows, sum(CAST('0x' || substr(x, 1, 15) AS BIGINT)) AS s0, sum(CAST('0x' || substr(x, 16, 15) AS BIGINT)) AS s1,
+  sum(CAST('0x' || substr(x, 31, 15) AS BIGINT)) AS s2, sum(CAST('0x' || substr(x, 46, 15) AS BIGINT)) AS s3 FROM (SELECT section, sha256(line) AS x FROM d) GROUP BY 1)""")
 def manifest_hash(spark, sf_dir):
     parts = {
         ("core", "nation"): table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")),

@@ -127,7 +127,9 @@ def events_per_place(spark, sf_dir):
 
 @query(f"WITH {EVENTS_SQL} SELECT event, row_number() OVER (ORDER BY from_year, order_date, event) - 1 AS seq FROM ev")
 def timeline_order(spark, sf_dir):
-    return sequence.timeline_order(star.events(spark, sf_dir), "from_year", ["order_date", "event"]).select("event", "seq")
+    # days are finer than years and order events in the same way
+    events = star.events(spark, sf_dir).withColumn("day", F.unix_date(F.to_date("order_date")))
+    return sequence.timeline_order(events, "day", ["order_date", "event"]).select("event", "seq")
 
 
 @query(f"WITH {EVENTS_SQL} SELECT narrative, event AS prior, nxt AS next FROM (SELECT narrative, event, lead(event) OVER (PARTITION BY narrative ORDER BY from_year, order_date, event) AS nxt FROM ev) WHERE nxt IS NOT NULL")
