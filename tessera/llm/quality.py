@@ -129,7 +129,8 @@ def _judged(text: Column) -> Column:
 
 def assess(docs: DataFrame) -> DataFrame:
     """Add ``_quality``: the statistics, ``lost_chars``, ``kept_lines``, ``base_failed`` and ``kept``."""
-    judged = docs.withColumn("_quality", _judged(F.col("text")))
+    # generated, not projected: a filter on the verdict would else be pushed below and judge the text again for each field
+    judged = docs.select("*", F.explode(F.array(_judged(F.col("text")))).alias("_quality"))
     q = F.col("_quality")
     base = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED * q["n_words"])
     kept = ~base & (q["lost_chars"] <= MAX_LOST * q["word_chars"])
