@@ -111,21 +111,45 @@ def edit_links(lines: DataFrame, errors: int = ERRORS) -> DataFrame:
     those lines' links otherwise, and keeps a spanning star of a crowd whose
     members are all linked.
     """
+    return _links(lines, errors)[0]
+
+
+def _links(lines: DataFrame, errors: int) -> tuple[DataFrame, DataFrame | None]:
+    """The links, and ``key, id`` of the crowds whose members are all linked but have only a star there."""
+    cliques = None
     shared = _shared(segment_keys(lines, errors))
     crowd = F.col("n") > CROWD if errors == 1 else F.lit(False)
     found = _met(shared.where(~crowd), "key")
     if errors == 1:
         crowded = shared.where(crowd).select("id").distinct()
-        found = found.unionAll(_crowded(materialize(_few(lines.select("id", "line", "chars"), crowded, "left_semi"), "crowded")))
+        met, cliques = _crowded(materialize(_few(lines.select("id", "line", "chars"), crowded, "left_semi"), "crowded"))
+        found = found.unionAll(met)
     pairs = materialize(found.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     texts = materialize(_few(lines.select("id", "line"), ids, "left_semi"), "pair-lines")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     near = F.levenshtein("x", "y", errors)
-    return pairs.join(left, "a").join(right, "b").where(near >= 0).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(near >= 0).select("a", "b"), cliques
+
+
+def degrees(links: DataFrame, cliques: DataFrame | None) -> DataFrame:
+    """``id, n_links``: how many lines are near to each line.
+
+    A clique gives each member its size less one, without pairs.  Two lines are
+    in one clique at most, that of the place where they differ; a link between
+    them, from the star or from another key, isn't counted again.
+    """
+    ends = lambda pairs: pairs.select(F.col("a").alias("id"), F.lit(1).alias("n")).unionAll(pairs.select(F.col("b").alias("id"), F.lit(1).alias("n")))
+    if cliques is None:
+        counted = ends(links)
+    else:
+        inside = links.join(cliques.select("key", F.col("id").alias("b")), "b").join(cliques.select("key", F.col("id").alias("a")), ["a", "key"]).select("a", "b")
+        sizes = cliques.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n"))
+        counted = ends(links.join(inside, ["a", "b"], "left_anti")).unionAll(cliques.join(sizes, "key").select("id", "n"))
+    return counted.groupBy("id").agg(F.sum("n").alias("n_links")).where("n_links > 0")
 
 
-def _crowded(lines: DataFrame) -> DataFrame:
+def _crowded(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``a, b``: candidates for one edit among lines that share a segment with many others.
 
     The edit lies in one of several windows of the shorter line, so both lines
@@ -133,11 +157,13 @@ def _crowded(lines: DataFrame) -> DataFrame:
     line, not a half.  Keys that are still crowded are cut into windows of
     their window, down to a single character; then all lines of one length are
     within one edit of each other and a star spans them, and a longer line
-    needs a shorter one that has one of its two characters there.
+    needs a shorter one that has one of its two characters there.  The second
+    table, ``key, id``, has all lines of each such star.
     """
     roles = F.array(F.struct(F.col("chars").alias("short"), F.lit(True).alias("own")), F.struct((F.col("chars") - 1).alias("short"), F.lit(False).alias("own")))
     rows = lines.select("id", "line", "chars", F.explode(roles).alias("r")).select("id", "line", "chars", "r.short", "r.own", F.lit(0).alias("lo"), F.col("r.short").alias("hi"))
     found = lines.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    cliques = lines.select(F.lit(0).cast("long").alias("key"), "id").limit(0)
     while True:
         edge = lambda j: F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * j / WINDOWS).cast("int")
         cuts = F.array(*[F.struct(edge(j).alias("from"), edge(j + 1).alias("to")) for j in range(WINDOWS)])
@@ -154,9 +180,10 @@ def _crowded(lines: DataFrame) -> DataFrame:
         longer = last.where("not own").select("key", F.col("id").alias("y"), F.explode(F.array_distinct(F.array(letter(1), letter(2)))).alias("letter"))
         met = longer.join(mine, ["key", "letter"]).select(F.least("y", "b").alias("a"), F.greatest("y", "b").alias("b"))
         found = materialize(found.unionAll(star).unionAll(met).distinct(), "crowded-pairs")
+        cliques = materialize(cliques.unionAll(mine.select("key", F.col("b").alias("id"))), "cliques")
         rows = materialize(dense.where("hi - lo > 1").select("id", "line", "chars", "short", "own", "lo", "hi"), "dense")
         if rows.head() is None:
-            return found
+            return found, cliques
 
 
 def _few(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -172,8 +199,9 @@ def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_C
     ``first_id`` is the class's least doc_id, ``line_first`` that of the line.
     """
     lines = distinct_lines(docs, min_chars)
-    links = materialize(edit_links(lines, errors), "edit-links")
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    links, cliques = _links(lines, errors)
+    links = materialize(links, "edit-links")
+    degree = degrees(links, cliques)
     roots = connected(links).select(F.col("node").alias("id"), "root")
     known = _few(lines.select("id", "first_id", "n", "h1", "h2"), degree.join(roots, "id"), "left")
     kept = known.where((F.col("n") > 1) | F.col("root").isNotNull())

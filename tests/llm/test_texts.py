@@ -327,6 +327,17 @@ def test_line_dedup_keeps_awkward_rows(spark, tmp_path):
     assert queries.op9_line_dedup(spark, fixtures.write(spark, tmp_path / "none", [])).count() == 0
 
 
+def test_links_of_a_crowd_are_all_counted(spark, tmp_path):
+    lines = [f"This is the footer of page {k}" for k in range(100)]
+    lines += [f"This is the footer of page {k}" for k in ("1x", "x1", "123", "1 2", "")] + [f"this is the footer of page {k}" for k in range(40, 50)]
+    lines += [f"{a}{b} is the running head of this book" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefgh"]
+    lines += [f"Chapter and verse of volume {c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN"]
+    data = [(k, x, None, None, None) for k, x in enumerate(lines)]
+    got = {r["doc_id"]: r["n_links"] for r in queries.op9_line_dedup(spark, fixtures.write(spark, tmp_path, data)).collect()}
+    assert got == {k: sum(within(a, b, 1) for b in lines) - 1 for k, a in enumerate(lines)}
+    assert got[len(lines) - 1] == 39
+
+
 # ---------------------------------------------------------------- 10
 
 def test_sharding(spark, tmp_path):
