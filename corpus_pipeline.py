@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of equal or near lines the first stays."""
-    return line_dedup.deduplicated(docs)
+    """Of each class of equal or near lines the first stays; equal lines are found at any length."""
+    return line_dedup.deduplicated(docs, equal_chars=line_dedup.ANY_CHARS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

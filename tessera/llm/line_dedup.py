@@ -1,7 +1,8 @@
 """Operator 9, line dedup by a segment-partition edit join, in SQL functions only.
 
-Lines of ``MIN_CHARS`` characters or more are compared over the whole corpus.
-Equal lines are counted by an aggregate with map-side combine.  Distinct lines
+Lines of ``min_chars`` characters or more are compared over the whole corpus,
+and those of ``equal_chars`` or more for equality.  Equal lines are counted by
+an aggregate with map-side combine.  Distinct lines
 join within ``errors`` edits: a line is split into ``errors + 1`` even segments,
 one of which survives in any line within reach, at a start that differs by no
 more than the edits allow.  Segments are indexed by length, number and hash;
@@ -27,6 +28,8 @@ from tessera.llm.components import connected
 
 ERRORS = 1
 MIN_CHARS = 20
+#: Equality without a floor: every line but the empty one, which only parts paragraphs.
+ANY_CHARS = 1
 #: Ids are broadcast up to this number (about 16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: More lines than this with one key are a crowd.
@@ -193,13 +196,13 @@ def _few(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return table.join(F.broadcast(ids) if small else ids, "id", how)
 
 
-def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """``h1, h2, class_id, first_id, line_first, n_links``: the lines that are equal or near to another.
 
     ``first_id`` is the class's least doc_id, ``line_first`` that of the line.
     """
-    lines = distinct_lines(docs, min_chars)
-    links, cliques = _links(lines, errors)
+    lines = distinct_lines(docs, min(equal_chars, min_chars))
+    links, cliques = _links(lines.where(F.col("chars") >= min_chars), errors)
     links = materialize(links, "edit-links")
     degree = degrees(links, cliques)
     roots = connected(links).select(F.col("node").alias("id"), "root")
@@ -210,14 +213,14 @@ def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_C
     return kept.join(least, "class_id", "left").select("h1", "h2", "class_id", F.coalesce("least", "line_first").alias("first_id"), "line_first", "n_links")
 
 
-def removals(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, text_hash, removed, near, n_links, first_doc`` for each text with lines of a class.
 
     ``removed``: places of lines; ``near``: how many of them differ from the
     class's first; ``first_doc``: the least document that keeps one of those lines.
     """
-    classes = repeated_lines(docs, errors, min_chars)
-    found = occurrences(docs, min_chars).select("doc_id", "text_hash", "place", *_hashes(F.col("line"))).join(classes, ["h1", "h2"])
+    classes = repeated_lines(docs, errors, min_chars, equal_chars)
+    found = occurrences(docs, min(equal_chars, min_chars)).select("doc_id", "text_hash", "place", *_hashes(F.col("line"))).join(classes, ["h1", "h2"])
     first = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("text_hash", "place")) == 1
     own = F.coalesce("doc_id", F.lit(_LAST)) == F.col("first_id")
     gone = found.withColumn("stays", own & first)
@@ -229,19 +232,19 @@ def removals(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS)
     )
 
 
-def _joined(docs: DataFrame, errors: int, min_chars: int) -> DataFrame:
+def _joined(docs: DataFrame, errors: int, min_chars: int, equal_chars: int = MIN_CHARS) -> DataFrame:
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = own.select("row", F.col("row.doc_id").alias("_id"), F.xxhash64("row.text").alias("_hash"))
-    gone = removals(docs.select("doc_id", "text"), errors, min_chars)
+    gone = removals(docs.select("doc_id", "text"), errors, min_chars, equal_chars)
     met = keyed.join(gone.hint("shuffle_hash"), keyed["_id"].eqNullSafe(gone["doc_id"]) & (keyed["_hash"] == gone["text_hash"]), "left")
     lines = F.split("row.text", "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False))), "\n")
     return met.withColumn("cleaned", F.when(F.size("removed") > 0, left).otherwise(F.col("row.text")))
 
 
-def deduplicated(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without repeated lines; a text may become empty, no row is lost, n_chars follows the text."""
-    met = _joined(docs, errors, min_chars)
+    met = _joined(docs, errors, min_chars, equal_chars)
     chars = F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)
     swap = {"text": F.col("cleaned"), "n_chars": F.coalesce(chars, F.col("row.n_chars"))}
     return met.select(*[swap.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

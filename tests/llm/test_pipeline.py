@@ -53,3 +53,10 @@ def test_stages_and_run(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, fixtures.write(spark, tmp_path, [])).count() == 0
+
+
+def test_short_repeated_lines_go(spark, tmp_path):
+    data = [(k, f"Les.\nA line that only document {k * 1001} has.\n\nx\nx", None, None, None) for k in (1, 2, 3)]
+    docs = fixtures.frame(spark, data)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: "Les.\nA line that only document 1001 has.\n\nx", 2: "A line that only document 2002 has.\n", 3: "A line that only document 3003 has.\n"}
