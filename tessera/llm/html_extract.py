@@ -10,7 +10,7 @@ container that holds nearly all slot text outside menus, headers, footers,
 sidebars, notices, adverts, forms and comments, which are told by tag, role,
 class and id.  A page's text is the blocks below its content root.
 
-Counts are kept by host, skeleton and node and are merged by aggregates, so a
+Copies of a page count once.  Counts are kept by host, skeleton and node and are merged by aggregates, so a
 host with most of the pages meets no single task; alignment runs once for each
 different skeleton of a host.
 
@@ -38,12 +38,14 @@ from tessera.llm.common import materialize
 
 #: Share of the slot text that the content root must hold.
 HELD = 0.95
-#: Pages on which a text must be the same to be template, outside and inside the content root.
+#: Share of the host's different pages that must have a node for it to be template.
+TEMPLATE_SHARE = 0.9
+#: Different pages on which a text must be the same to be template, outside and inside the content root.
 CONSTANT_PAGES = 3
 CONSTANT_PAGES_INSIDE = 20
 #: Skeleton nodes that are aligned; what lies beyond is content or not by its ancestors.
 MAX_NODES = 400
-#: Groups that a task holds before it hands their counts on.
+#: Alignments that a task holds.
 HELD_GROUPS = 2_000
 #: Wrappers are broadcast up to this many hosts; beyond that the join shuffles.
 BROADCAST_HOSTS = 20_000
@@ -240,8 +242,8 @@ def align(a: list, b: list) -> dict[int, int]:
     return out
 
 
-def wrapper_of(nodes: list, stats: dict[int, tuple[int, int, int, int]]) -> tuple[int, list[int]]:
-    """Content root and template nodes inside it, from (pages, least and greatest checksum, characters) of each node."""
+def wrapper_of(nodes: list, stats: dict[int, tuple[int, int, int, int]], total: int) -> tuple[int, list[int]]:
+    """Content root and template nodes inside it, from (pages, least and greatest checksum, characters) of each node and the host's pages."""
     dropped = [False] * len(nodes)
     in_article = [False] * (len(nodes) + 1)  # the last one stands for the root's parent
     parent = [-1] * len(nodes)
@@ -255,7 +257,7 @@ def wrapper_of(nodes: list, stats: dict[int, tuple[int, int, int, int]]) -> tupl
             own = False
         in_article[i] = in_article[parent[i]] or tag in ("article", "main")
         dropped[i] = own or parent[i] >= 0 and dropped[parent[i]]
-    same = lambda i, least: i in stats and stats[i][0] >= least and stats[i][1] == stats[i][2]
+    same = lambda i, least: i in stats and stats[i][0] >= max(least, TEMPLATE_SHARE * total) and stats[i][1] == stats[i][2]
     mass = [0 if dropped[i] or i not in stats or same(i, CONSTANT_PAGES) else stats[i][3] for i in range(len(nodes))]
     varies = sum(mass) > 0
     if not varies:
@@ -310,33 +312,17 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages, checksums and characters by host, skeleton and node; node -1 counts the pages."""
-    held: dict[tuple[str, str], dict[int, list[int]]] = {}
-
-    def out() -> pa.RecordBatch:
-        rows = [(host, skeleton, node, *x) for (host, skeleton), nodes in held.items() for node, x in nodes.items()]
-        held.clear()
-        names = ["host", "skeleton", "node", "pages", "least", "most", "chars"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
-
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, skeleton, and the checksum and characters of each node with text; node -1 stands for the page."""
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("least", pa.int64()), ("chars", pa.int64())]))
     for part in steps(batches, "html"):
-        for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+        skeletons, nodes = [], []
+        for html in part.column(1).to_pylist():
             page = Page(html)
-            nodes = held.setdefault((host, page.skeleton()), {})
-            texts = page.node_texts()
-            texts[-1] = [0, 0]
-            for node, (check, chars) in texts.items():
-                x = nodes.get(node)
-                if x is None:
-                    nodes[node] = [1, check, check, chars]
-                else:
-                    x[0] += 1
-                    x[1], x[2], x[3] = min(x[1], check), max(x[2], check), x[3] + chars
-        if len(held) > HELD_GROUPS:
-            yield out()
-    yield out()
+            skeletons.append(page.skeleton())
+            texts = sorted(page.node_texts().items())
+            nodes.append([{"node": -1, "least": 0, "chars": 0}, *({"node": n, "least": check, "chars": chars} for n, (check, chars) in texts)])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(skeletons, pa.string()), pa.array(nodes, kind)], names=["host", "skeleton", "nodes"])
 
 
 _COUNTS = "host string, skeleton string, node int, pages long, least long, most long, chars long"
@@ -366,7 +352,7 @@ def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            root, inside = wrapper_of(json.loads(r["skeleton"]), {x["node"]: (x["pages"], x["least"], x["most"], x["chars"]) for x in r["stats"]})
+            root, inside = wrapper_of(json.loads(r["skeleton"]), {x["node"]: (x["pages"], x["least"], x["most"], x["chars"]) for x in r["stats"]}, r["total"])
             rows.append((r["host"], r["skeleton"], root, inside))
         kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["host", "reference", "root", "template"])
@@ -374,13 +360,16 @@ def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, reference, root, template``: a wrapper for each host, from all its pages."""
-    counts = _hosted(pages).select("host", "html").mapInArrow(_counted, _COUNTS)
-    counts = materialize(_merge(counts, "host", "skeleton", "node"), "page-counts")
-    sized = counts.where("node = -1").groupBy("host").agg(F.max(F.struct("pages", "skeleton")).alias("m"))
+    texts = _hosted(pages).select("host", "html").mapInArrow(_texts, "host string, skeleton string, nodes array<struct<node:int,least:long,chars:long>>")
+    each = texts.distinct().select("host", "skeleton", F.explode("nodes").alias("n"))
+    each = each.select("host", "skeleton", "n.node", F.lit(1).cast("long").alias("pages"), "n.least", F.col("n.least").alias("most"), "n.chars")
+    counts = materialize(_merge(each, "host", "skeleton", "node"), "page-counts")
+    sized = counts.where("node = -1").groupBy("host").agg(F.max(F.struct("pages", "skeleton")).alias("m"), F.sum("pages").alias("total"))
     reference = sized.select("host", F.col("m.skeleton").alias("reference"))
     aligned = counts.where("node >= 0").join(reference, "host").mapInArrow(_aligned, _COUNTS)
     stats = _merge(aligned, "host", "skeleton", "node")
     listed = stats.groupBy("host", "skeleton").agg(F.collect_list(F.struct("node", "pages", "least", "most", "chars")).alias("stats"))
+    listed = listed.join(sized.select("host", "total"), "host")
     return listed.mapInArrow(_induced, "host string, reference string, root int, template array<int>")
 
 

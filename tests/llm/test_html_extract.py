@@ -48,6 +48,14 @@ def test_copies_are_no_template(spark, tmp_path):
     assert {r["text"] for r in run(spark, tmp_path, rows)} == {"Same\nAll the same words."}
 
 
+def test_copies_beside_other_pages_keep_their_text(spark, tmp_path):
+    copy = "<body><nav>menu</nav><article><h1>Hot</h1><p>First words.</p><blockquote>Quoted.</blockquote><p>Last words.</p></article></body>"
+    rows = [(i, f"http://f.example/{i}", copy) for i in range(100)]
+    rows += [(i, f"http://f.example/{i}", f"<body><nav>menu</nav><article><h1>T{i}</h1><p>Words {i}.</p></article></body>") for i in range(100, 150)]
+    got = {r["page_id"]: r["text"] for r in run(spark, tmp_path, rows)}
+    assert got == {i: "Hot\nFirst words.\nQuoted.\nLast words." if i < 100 else f"T{i}\nWords {i}." for i in range(150)}
+
+
 def test_empty(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
 
