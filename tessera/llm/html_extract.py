@@ -6,9 +6,10 @@ skeleton is the reference; every other skeleton is aligned to it by simple tree
 matching (equal roots, then the heaviest common subsequence of the children).
 Over all pages of the host each aligned node is constant (one text on all
 pages: template) or varying (a slot).  The content root is the deepest
-container that holds nearly all slot text outside menus, headers, footers,
+container that holds all slot text outside menus, headers, footers,
 sidebars, notices, adverts, forms and comments, which are told by tag, role,
-class and id.  A page's text is the blocks below its content root.
+class and id.  A page's text is the blocks below its content root, and those of
+its other nodes that the reference doesn't have.
 
 Copies of a page count once.  Counts are kept by host, skeleton and node and are merged by aggregates, so a
 host with most of the pages meets no single task; alignment runs once for each
@@ -36,8 +37,6 @@ from pyspark.sql import functions as F
 from tessera.llm.arrow import steps
 from tessera.llm.common import materialize
 
-#: Share of the slot text that the content root must hold.
-HELD = 0.95
 #: Share of the host's different pages that must have a node for it to be template.
 TEMPLATE_SHARE = 0.9
 #: Different pages on which a text must be the same to be template, outside and inside the content root.
@@ -268,7 +267,7 @@ def wrapper_of(nodes: list, stats: dict[int, tuple[int, int, int, int]], total:
             below[parent[i]] += below[i]
     root = 0
     while sum(mass):
-        deeper = [c for c in nodes[root][1] if nodes[c][0].split(".")[0] in CONTAINERS and below[c] >= HELD * below[0]]
+        deeper = [c for c in nodes[root][1] if nodes[c][0].split(".")[0] in CONTAINERS and below[c] == below[0]]
         if not deeper:
             break
         root = max(deeper, key=lambda c: below[c])
@@ -283,13 +282,13 @@ def _depth(parent: list[int], i: int) -> int:
     return d
 
 
-def main_text(page: Page, root: int | None, template: set[int]) -> str:
-    """The blocks below a skeleton node, without furniture and template."""
+def main_text(page: Page, root: int | None, template: set[int], aligned: set[int] = frozenset()) -> str:
+    """The blocks below a skeleton node and of nodes that aren't aligned, without furniture and template."""
     if root is None:
         named = [k for k, t in enumerate(page.tags) if t in ("article", "main") and not page.dropped[k]]
         tops = {k for k in named if not any(a in named for a in _ancestors(page, k))} or {0}
     else:
-        tops = {k for k, n in enumerate(page.node_of) if n == root}
+        tops = {k for k, n in enumerate(page.node_of) if n == root or n not in aligned}
     inside = [False] * len(page.labels)
     for k in range(len(page.labels)):
         inside[k] = k in tops or page.parents[k] >= 0 and inside[page.parents[k]]
@@ -390,7 +389,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if back is None or root not in back:
                 texts.append(main_text(page, None, set()))
             else:
-                texts.append(main_text(page, back[root], {back[t] for t in template if t in back}))
+                texts.append(main_text(page, back[root], {back[t] for t in template if t in back}, set(back.values())))
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

@@ -56,6 +56,18 @@ def test_copies_beside_other_pages_keep_their_text(spark, tmp_path):
     assert got == {i: "Hot\nFirst words.\nQuoted.\nLast words." if i < 100 else f"T{i}\nWords {i}." for i in range(150)}
 
 
+def test_nothing_that_varies_is_left_outside(spark, tmp_path):
+    body = lambda i: f"<div class=body><p>{f'Long text {i}. ' * 60}</p></div>"
+    rows = [(i, f"http://g.example/{i}", f"<body><nav>menu</nav><div class=top>Site</div><article><h1>T{i}</h1><p class=lead>Lead {i}.</p>{body(i)}<p>End {i}.</p></article></body>") for i in range(30)]
+    want = {i: f"T{i}\nLead {i}.\n{f'Long text {i}. ' * 60}".strip() + f"\nEnd {i}." for i in range(30)}
+    rows += [(i, f"http://h.example/{i}", f"<body><nav>menu</nav><div class=top>Site</div>{body(i)}</body>") for i in range(30, 60)]
+    want |= {i: f"Long text {i}. " * 60 for i in range(30, 60)}
+    rows += [(60, "http://h.example/60", f"<body><nav>menu</nav><div class=top>Site</div>{body(60)}<div class=second><p>Second part.</p></div><aside>x</aside></body>")]
+    want[60] = "Long text 60. " * 60 + "\nSecond part."
+    got = {r["page_id"]: r["text"] for r in run(spark, tmp_path, rows)}
+    assert got == {i: "\n".join(x.strip() for x in t.split("\n")) for i, t in want.items()}
+
+
 def test_empty(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
 
