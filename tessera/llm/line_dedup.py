@@ -213,6 +213,17 @@ def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_C
     return kept.join(least, "class_id", "left").select("h1", "h2", "class_id", F.coalesce("least", "line_first").alias("first_id"), "line_first", "n_links")
 
 
+def members(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = ANY_CHARS) -> DataFrame:
+    """``doc_id, place, class_id, kept_doc, n_links``: each line that is in a class, with the document that keeps the class's first line.
+
+    ``class_id`` is the least hash of the class's lines; ``kept_doc`` is null where no document with an id has one.
+    """
+    classes = repeated_lines(docs, errors, min_chars, equal_chars)
+    named = classes.join(classes.groupBy("class_id").agg(F.min("h1").alias("name")), "class_id")
+    found = occurrences(docs, min(equal_chars, min_chars)).select("doc_id", "place", *_hashes(F.col("line"))).join(named, ["h1", "h2"])
+    return found.select("doc_id", "place", F.col("name").alias("class_id"), F.when(F.col("first_id") != _LAST, F.col("first_id")).alias("kept_doc"), "n_links")
+
+
 def removals(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, text_hash, removed, near, n_links, first_doc`` for each text with lines of a class.
 

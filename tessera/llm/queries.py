@@ -54,6 +54,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_documents(spark, sf_dir))
 
 
+def op9_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.members(_documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.kd_shards(read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")))
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_license_scan": op7_license_scan,
         "op8_html_extract": op8_html_extract,
         "op9_line_dedup": op9_line_dedup,
+        "op9_line_classes": op9_line_classes,
         "op10_sharding": op10_sharding,
     }
 

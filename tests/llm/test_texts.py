@@ -338,6 +338,16 @@ def test_links_of_a_crowd_are_all_counted(spark, tmp_path):
     assert got[len(lines) - 1] == 39
 
 
+def test_line_classes_list_every_link_of_a_document(spark, tmp_path):
+    common, passage = "A common line of many documents.", "A long passage that two documents share."
+    texts = {3: common, 500: passage + "\nOnly here, in this one document.\nLes.", 600: f"{common}\n{passage[:-1]}!\nLes.", None: "A common line of many documents"}
+    data = [(k, t, None, None, None) for k, t in texts.items()]
+    rows = queries.op9_line_classes(spark, fixtures.write(spark, tmp_path, data)).collect()
+    got = {(r["doc_id"], r["place"]): (r["kept_doc"], r["n_links"]) for r in rows}
+    assert got == {(3, 0): (3, 1), (600, 0): (3, 1), (None, 0): (3, 1), (500, 0): (500, 1), (600, 1): (500, 1), (500, 2): (500, 0), (600, 2): (500, 0)}
+    assert len({r["class_id"] for r in rows}) == 3 and len(rows) == 7
+
+
 # ---------------------------------------------------------------- 10
 
 def test_sharding(spark, tmp_path):
