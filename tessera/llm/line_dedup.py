@@ -1,275 +1,407 @@
-"""Operator 9, line dedup by a segment-partition edit join, in SQL functions only.
-
-Lines of ``min_chars`` characters or more are compared over the whole corpus,
-and those of ``equal_chars`` or more for equality.  Equal lines are counted by
-an aggregate with map-side combine.  Distinct lines
-join within ``errors`` edits: a line is split into ``errors + 1`` even segments,
-one of which survives in any line within reach, at a start that differs by no
-more than the edits allow.  Segments are indexed by length, number and hash;
-each line probes the indexes of its own and of the ``errors`` shorter lengths
-at the starts that are possible there.  Candidates are verified by the banded
-edit distance with a cut-off.  Links join lines into classes, and of a class
-only the first line, by doc_id and place, stays.
-
-Null texts and texts of short lines are left alone.  Rows with one doc_id count
-as one document with several texts; identical rows are cleaned alike.  A null
-doc_id comes after all others.  An empty table gives no rows.  Extra columns
-are kept.
+r"""Operator 9, line dedup by a segment-partition edit join, in SQL functions only.
+
+Every line with a character is compared for equality, over the whole corpus.
+Lines of ``min_chars`` characters or more also join by edit distance: two lines
+are linked within one edit for each ``rate`` characters of the shorter one, one
+at least and ``most`` at most.
+
+The join.  Lengths are cut into classes of ``rate``; a class has one number of
+edits e and one base, its least length.  An indexed line has e + 1 segments of
+base / (e + 1) characters, half of them counted from the line's start and half
+from its end, so that one key serves all lengths of a class.  One segment
+survives in any linked line that isn't shorter, moved by no more than its rank
+from its end of the line; a line therefore probes with 2 r + 1 substrings for
+the segment of rank r, in its own class and in a class below that is near
+enough.  Keys that two lines share are found by an aggregate of two numbers
+with map-side combine, and only lines with such a key are read again.
+Candidates are verified on whole lines by banded bit-parallel edit distance.
+
+Crowds.  A key that more than ``CROWD`` lines share makes no pairs of them.  All
+its lines are verified against one of them; a crowd whose lines are then in one
+class is done.  Otherwise the shared segment is cut out of its lines, and what
+is left of them joins in the same way within the crowd, as all edits lie there.
+That goes on until no crowd with lines of two classes is left.  Only the plan
+depends on ``CROWD``: classes are those of all linked pairs.
+
+Links join lines into classes; of a class the first line stays, by doc_id, then
+hash of the text, then place.  ``n_links`` counts the other different lines of
+the class, those that links reach.
+
+Null texts and empty lines are left alone.  Rows with one doc_id count as one
+document with several texts; identical rows are cleaned alike.  A null doc_id
+comes after all others.  An empty table gives no rows.  Very long lines and
+texts are treated like any other.  Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.common import materialize
+from tessera.llm.common import let, materialize
 from tessera.llm.components import connected
 
-ERRORS = 1
+#: Characters of the shorter line for each edit; also the width of a class of lengths.
+RATE = 32
+MOST = 4
+#: Shorter lines are compared for equality only.
 MIN_CHARS = 20
-#: Equality without a floor: every line but the empty one, which only parts paragraphs.
-ANY_CHARS = 1
-#: Ids are broadcast up to this number (about 16 MB); beyond it the join shuffles.
+#: Keys and classes are broadcast up to this number (about 16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: More lines than this with one key are a crowd.
-CROWD = 32
-#: Parts into which a crowd's window is cut.
-WINDOWS = 8
+CROWD = 64
 _LAST = (1 << 63) - 1
+_SIGN = -(1 << 63)
 
 
-def _hashes(line: Column) -> list[Column]:
-    """128 bits that stand for a line."""
+def line_hashes(line: Column) -> list[Column]:
+    """128 bits that stand for a line; the first half is its id in the join."""
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, text_hash, place, line`` for each line that is compared."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, place, line`` for each line that isn't empty."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.where(F.char_length("line") >= min_chars)
+    return lines.where(F.col("line") != "")
 
 
-def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id, line, chars, first_id, n``: each different line once, with the least doc_id that has it."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") >= min_chars)
-    found = lines.groupBy("line").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("first_id"), F.count(F.lit(1)).alias("n"))
-    return materialize(
-        found.select(F.monotonically_increasing_id().alias("id"), "line", F.char_length("line").alias("chars"), "first_id", "n", *_hashes(F.col("line"))),
-        "lines",
-    )
+def _first() -> Column:
+    return F.struct(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"), "text_hash", "place")
+
+
+# ---------------------------------------------------------------- lengths and segments
+
+def base_of(chars: Column, rate: int, min_chars: int) -> Column:
+    """The least length of a length's class."""
+    return F.greatest(F.lit(min_chars), (chars - chars % rate)).cast("int")
 
 
-def segment(chars: Column, number: int, count: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment when lines of so many characters are cut into ``count``."""
-    short = F.floor(chars / count).cast("int")
-    plain = count - chars % count  # so many segments have no extra character; they come first
-    start = F.lit(1) + short * (number - 1) + F.greatest(F.lit(0), F.lit(number - 1) - plain).cast("int")
-    return start, short + (F.lit(number) > plain).cast("int")
+def errors_of(base: Column, rate: int, most: int) -> Column:
+    """Edits within which the lines of a class are linked to lines that aren't shorter."""
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(base / rate))).cast("int")
 
 
-def shifts(number: int, delta: int, errors: int) -> range:
-    """Possible shifts of a segment's start in a line that is longer by ``delta``.
+def probes(errors: int) -> list[tuple[int, int, int]]:
+    """Segment number, rank from its end of the line, and shift; numbers below half of the segments count from the start.
 
-    At most number - 1 edits lie before the first surviving segment, and at
-    most errors + 1 - number after the last; both bounds hold at once.
+    Multi-match-aware bounds: before a surviving segment of rank r lie r
+    segments that don't, behind it errors - r; it moves by r edits at most,
+    seen from the nearer end, whatever the difference in length.
     """
-    behind = errors + 1 - number
-    return range(max(-(number - 1), delta - behind), min(number - 1, delta + behind) + 1)
+    half = (errors + 2) // 2
+    ranked = [(k, k if k < half else errors - k) for k in range(errors + 1)]
+    return [(k, r, s) for k, r in ranked for s in range(-r, r + 1)]
 
 
-def segment_keys(lines: DataFrame, errors: int) -> DataFrame:
-    """``key, id, own``: a line's own segments, and the substrings with which it probes."""
-    count = errors + 1
-    keys = []
-    for delta in range(errors + 1):
-        chars = F.col("chars") - delta
-        for number in range(1, count + 1):
-            start, length = segment(chars, number, count)
-            for shift in shifts(number, delta, errors):
-                key = F.xxhash64(chars, F.lit(number), F.substring(F.col("line"), start + shift, length))
-                keys.append(F.struct(key.alias("key"), F.lit(delta == 0 and shift == 0).alias("own")))
-    return lines.select("id", F.explode(F.array(*keys)).alias("k")).select("k.key", "id", "k.own")
+def _start(number: int, rank: int, shift: int, half: int) -> Column:
+    """Start (from 1) of a probe's substring; ``seg`` is the segments' length."""
+    if number < half:
+        return F.lit(1 + shift) + F.lit(rank) * F.col("seg")
+    return F.col("chars") - F.lit(rank + 1) * F.col("seg") + F.lit(1 - shift)
 
 
-def _met(shared: DataFrame, *keys: str) -> DataFrame:
-    """``a, b``: pairs of lines with a common key, one of which has it as its own."""
-    index = shared.where("own").select(*keys, F.col("id").alias("x"))
-    probe = shared.select(*keys, F.col("id").alias("y"), "own")
-    met = index.join(probe, [*keys]).where((F.col("x") != F.col("y")) & (~F.col("own") | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _top_rows(docs: DataFrame, rate: int, most: int, min_chars: int) -> DataFrame:
+    """``id, line, chars, base, errors, own, grp``: each long enough line in its class, and as a probe in classes below that reach it."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.char_length("line").alias("chars")).where(F.col("chars") >= min_chars)
+    own_base = base_of(F.col("chars"), rate, min_chars)
 
+    def below(delta: int) -> Column:
+        base = base_of(F.col("chars") - delta, rate, min_chars)
+        reached = (F.col("chars") - delta >= min_chars) & (base != own_base) & (errors_of(base, rate, most) >= delta)
+        return F.when(reached, F.struct(base.alias("base"), F.lit(False).alias("own")))
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """Rows whose key another row has too, one of them as its own; ``n`` rows have it."""
-    group = Window.partitionBy("key")
-    counted = keyed.withColumns({"n": F.count(F.lit(1)).over(group), "_own": F.max("own").over(group)})
-    return materialize(counted.where((F.col("n") > 1) & F.col("_own")).drop("_own"), "segments")
+    roles = F.array(F.struct(own_base.alias("base"), F.lit(True).alias("own")), *[below(d) for d in range(1, most + 1)])
+    near_edge = F.col("chars") - own_base < most
+    roles = F.when(near_edge, F.filter(F.array_distinct(roles), lambda r: r.isNotNull())).otherwise(F.slice(roles, 1, 1))
+    rows = lines.select(F.xxhash64("line").alias("id"), "line", "chars", F.explode(roles).alias("r"))
+    return rows.select("id", "line", "chars", "r.base", errors_of(F.col("r.base"), rate, most).alias("errors"), "r.own", F.col("r.base").cast("long").alias("grp"))
 
 
-def edit_links(lines: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """``a, b``: ids of different lines within ``errors`` edits, each pair once.
+def _segmented(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("seg", F.floor(F.col("base") / (F.col("errors") + 1)).cast("int"))
 
-    Keys that many lines share make no pairs for one edit: ``_crowded`` finds
-    those lines' links otherwise, and keeps a spanning star of a crowd whose
-    members are all linked.
-    """
-    return _links(lines, errors)[0]
-
-
-def _links(lines: DataFrame, errors: int) -> tuple[DataFrame, DataFrame | None]:
-    """The links, and ``key, id`` of the crowds whose members are all linked but have only a star there."""
-    cliques = None
-    shared = _shared(segment_keys(lines, errors))
-    crowd = F.col("n") > CROWD if errors == 1 else F.lit(False)
-    found = _met(shared.where(~crowd), "key")
-    if errors == 1:
-        crowded = shared.where(crowd).select("id").distinct()
-        met, cliques = _crowded(materialize(_few(lines.select("id", "line", "chars"), crowded, "left_semi"), "crowded"))
-        found = found.unionAll(met)
-    pairs = materialize(found.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(_few(lines.select("id", "line"), ids, "left_semi"), "pair-lines")
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    near = F.levenshtein("x", "y", errors)
-    return pairs.join(left, "a").join(right, "b").where(near >= 0).select("a", "b"), cliques
-
-
-def degrees(links: DataFrame, cliques: DataFrame | None) -> DataFrame:
-    """``id, n_links``: how many lines are near to each line.
-
-    A clique gives each member its size less one, without pairs.  Two lines are
-    in one clique at most, that of the place where they differ; a link between
-    them, from the star or from another key, isn't counted again.
+
+def _by_errors(most: int, value: Callable[[int], Column]) -> Column:
+    """The value for the row's number of edits."""
+    out = F
+    for e in range(1, most + 1):
+        out = out.when(F.col("errors") == e, value(e))
+    return out
+
+
+def _key(e: int, k: int, r: int, s: int) -> Column:
+    return F.xxhash64("grp", F.lit(k), F.substring(F.col("line"), _start(k, r, s, (e + 2) // 2), F.col("seg")))
+
+
+def _mark(own: Column) -> Column:
+    """The id, with the sign bit set for an own segment of an indexed line."""
+    return F.when(own, F.col("id").bitwiseOR(F.lit(_SIGN))).otherwise(F.col("id").bitwiseAND(F.lit(_LAST)))
+
+
+def _shared_keys(rows: DataFrame, most: int) -> DataFrame:
+    """Keys that an indexed line has as its own and another line has too.
+
+    Two numbers a key, combined before the shuffle.  A line's probe that equals
+    one of its own segments is left out, so own marks and probe marks are of
+    different lines.
     """
-    ends = lambda pairs: pairs.select(F.col("a").alias("id"), F.lit(1).alias("n")).unionAll(pairs.select(F.col("b").alias("id"), F.lit(1).alias("n")))
-    if cliques is None:
-        counted = ends(links)
-    else:
-        inside = links.join(cliques.select("key", F.col("id").alias("b")), "b").join(cliques.select("key", F.col("id").alias("a")), ["a", "key"]).select("a", "b")
-        sizes = cliques.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n"))
-        counted = ends(links.join(inside, ["a", "b"], "left_anti")).unionAll(cliques.join(sizes, "key").select("id", "n"))
-    return counted.groupBy("id").agg(F.sum("n").alias("n_links")).where("n_links > 0")
-
-
-def _crowded(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``a, b``: candidates for one edit among lines that share a segment with many others.
-
-    The edit lies in one of several windows of the shorter line, so both lines
-    agree before and after that window: a key that leaves out an eighth of the
-    line, not a half.  Keys that are still crowded are cut into windows of
-    their window, down to a single character; then all lines of one length are
-    within one edit of each other and a star spans them, and a longer line
-    needs a shorter one that has one of its two characters there.  The second
-    table, ``key, id``, has all lines of each such star.
+
+    def keys(e: int) -> Column:
+        own = F.array(*[_key(e, k, r, s) for k, r, s in probes(e) if not s])
+        moved = [_key(e, k, r, s) for k, r, s in probes(e) if s]
+        return F.concat(own, F.array_except(F.array(*moved), own)) if moved else own
+
+    whole = F.array(F.xxhash64("grp", F.lit(-1)))
+    exploded = _segmented(rows).select("id", "own", "errors", "seg", F.posexplode(F.when(F.col("seg") == 0, whole).otherwise(_by_errors(most, keys))).alias("at", "key"))
+    marked = exploded.select("key", _mark(F.col("own") & (F.col("at") <= F.col("errors"))).alias("mark"))
+    least = marked.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    return materialize(least.where("low < 0 and low <> high").select("key"), "shared-keys")
+
+
+def _members(rows: DataFrame, most: int, shared: DataFrame, *carry: str) -> DataFrame:
+    """``key, id, mark, start, seg`` and columns to carry, of rows with a shared key."""
+
+    def keys(e: int) -> Column:
+        return F.array(*[F.struct(_key(e, k, r, s).alias("key"), _start(k, r, s, (e + 2) // 2).alias("start"), F.lit(not s).alias("mine")) for k, r, s in probes(e)])
+
+    whole = F.array(F.struct(F.xxhash64("grp", F.lit(-1)).alias("key"), F.lit(1).alias("start"), F.lit(True).alias("mine")))
+    kept = ["id", "chars", "base", "errors", "seg", *carry]
+    exploded = _segmented(rows).select(*kept, "own", F.explode(F.when(F.col("seg") == 0, whole).otherwise(_by_errors(most, keys))).alias("k"))
+    marked = exploded.select("k.key", _mark(F.col("own") & F.col("k.mine")).alias("mark"), F.col("k.start").alias("start"), *kept)
+    # a hot line has its keys in every document that has it: combined before the shuffle
+    return materialize(_few(marked, shared, "key", "left_semi").dropDuplicates(["key", "mark", "start"]), "members")
+
+
+def _few(table: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join with few keys: broadcast them where their number allows."""
+    small = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return table.join(F.broadcast(keys) if small else keys, on, how)
+
+
+# ---------------------------------------------------------------- verification
+
+def edit_distance(x: Column, y: Column, most: int) -> Column:
+    """Edit distance where it is ``most`` or less, else a greater number: bit vectors of a band of 2 most + 1 diagonals in a long.
+
+    ``x`` mustn't be longer than ``y``.  Column by column of ``y``: bit b stands
+    for the row j - most + b of ``x``.  The distance is followed down the main
+    diagonal to the last row, then along that row.
     """
-    roles = F.array(F.struct(F.col("chars").alias("short"), F.lit(True).alias("own")), F.struct((F.col("chars") - 1).alias("short"), F.lit(False).alias("own")))
-    rows = lines.select("id", "line", "chars", F.explode(roles).alias("r")).select("id", "line", "chars", "r.short", "r.own", F.lit(0).alias("lo"), F.col("r.short").alias("hi"))
-    found = lines.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    cliques = lines.select(F.lit(0).cast("long").alias("key"), "id").limit(0)
+    if 2 * most + 1 > 62:
+        raise ValueError("the band must fit a long")
+    mask = F.lit((1 << (2 * most + 1)) - 1).cast("long")
+    chars = lambda t: F.split(t, "")
+    flip = lambda v: F.bitwise_not(v).bitwiseAND(mask)
+    bit = lambda v, b: F.call_function("shiftright", v, b).bitwiseAND(F.lit(1).cast("long"))
+
+    def walk(xs: Column, ys: Column, m: Column, n: Column) -> Column:
+        def step(s: Column, j: Column) -> Column:
+            def with_matches(eq: Column) -> Column:
+                d0 = ((eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(mask)
+
+                def with_d0(d: Column) -> Column:
+                    def with_hp(hp: Column) -> Column:
+                        hn, moved = d.bitwiseAND(s["vp"]), F.shiftrightunsigned(d, 1)
+                        along = bit(hp, m - j + most) - bit(hn, m - j + most)
+                        return F.struct(
+                            hn.bitwiseOR(flip(moved.bitwiseOR(hp))).alias("vp"),
+                            moved.bitwiseAND(hp).alias("vn"),
+                            (s["dist"] + F.when(j <= m, F.lit(1).cast("long") - bit(d, F.lit(most))).otherwise(along)).alias("dist"),
+                        )
+
+                    return let(s["vn"].bitwiseOR(flip(d.bitwiseOR(s["vp"]))), with_hp)
+
+                return let(d0, with_d0)
+
+            y_j = F.get(ys, j - 1)
+            same = [F.when(F.get(xs, j - most + b - 1) == y_j, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in range(2 * most + 1)]
+            total = same[0]
+            for v in same[1:]:
+                total = total + v
+            # down the diagonal the distance never falls, and along the row by n - m at most
+            return F.when(s["dist"] > most + n - m, s).otherwise(let(total, with_matches))
+
+        # in the column before the first each row is one more than the row above
+        start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).cast("long").alias("dist"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["dist"])
+
+    def sized(p: Column) -> Column:
+        return walk(p["x"], p["y"], F.size(p["x"]), F.size(p["y"]))
+
+    far = F.char_length(y) - F.char_length(x) > most
+    found = let(F.struct(chars(x).alias("x"), chars(y).alias("y")), sized)
+    return F.when(far, F.lit(most + 1).cast("long")).when(F.char_length(x) == 0, F.char_length(y).cast("long")).otherwise(found)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, rate: int, most: int, min_chars: int) -> DataFrame:
+    """``a, b, na, nb``: the pairs of ids that are linked, with the lines' full names."""
+    side = lambda i: texts.select(F.col("id").alias(i), F.col("node").alias(f"n{i}"), F.col("line").alias(f"l{i}"), F.col("chars").alias(f"c{i}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("na <> nb")
+    swap = F.col("ca") > F.col("cb")
+    short, long_ = F.when(swap, F.col("lb")).otherwise(F.col("la")), F.when(swap, F.col("la")).otherwise(F.col("lb"))
+    base = base_of(F.least("ca", "cb"), rate, min_chars)
+    met = met.select("a", "b", "na", "nb", short.alias("x"), long_.alias("y"), errors_of(base, rate, most).alias("errors"))
+    met = met.where(F.char_length("y") - F.char_length("x") <= F.col("errors"))
+    return materialize(met.where(edit_distance(F.col("x"), F.col("y"), most) <= F.col("errors")).select("a", "b", "na", "nb"), "edit-links")
+
+
+# ---------------------------------------------------------------- the join
+
+def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Links ``na, nb`` that span the classes of linked lines, and ``id, node, line, chars, first, n`` of lines with a shared key."""
+    if rate < 2 or min_chars < 2:
+        raise ValueError("a line needs a character for each segment: rate and min_chars must be 2 or more")
+    top = _top_rows(docs, rate, most, min_chars)
+    members = _members(top, most, _shared_keys(top, most))
+    ids = materialize(members.select("id").distinct(), "ids")
+    lines = occurrences(docs).where(F.char_length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
+    told = _few(lines, ids, "id", "left_semi").groupBy("id", "line").agg(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n"))
+    node = F.concat(F.hex("id"), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "line")))
+    texts = materialize(told.select("id", node.alias("node"), "line", F.char_length("line").alias("chars"), "first", "n"), "texts")
+    verified = lambda pairs: _verified(materialize(pairs.distinct(), "pairs"), texts, rate, most, min_chars)
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    members, links = members.withColumn("comp", F.col("id")), None
     while True:
-        edge = lambda j: F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * j / WINDOWS).cast("int")
-        cuts = F.array(*[F.struct(edge(j).alias("from"), edge(j + 1).alias("to")) for j in range(WINDOWS)])
-        cut = rows.withColumn("w", F.explode(cuts)).where("w.to > w.from").select("id", "line", "chars", "short", "own", F.col("w.from").alias("lo"), F.col("w.to").alias("hi"))
-        after = F.col("short") - F.col("hi")
-        key = F.xxhash64("short", "lo", "hi", F.substring("line", F.lit(1), F.col("lo")), F.substring("line", F.col("chars") - after + 1, after))
-        level = _shared(cut.select(key.alias("key"), "id", "own", "short", "lo", "hi"))
-        found = found.unionAll(_met(level.where(F.col("n") <= CROWD), "key"))
-        dense = level.where(F.col("n") > CROWD).join(lines, "id")
-        letter = lambda k: F.substring("line", F.col("lo") + k, F.lit(1))
-        last = dense.where("hi - lo = 1")
-        mine = last.where("own").select("key", F.col("id").alias("b"), letter(1).alias("letter"))
-        star = mine.join(mine.groupBy("key").agg(F.min("b").alias("a")), "key").where("a <> b").select("a", "b")
-        longer = last.where("not own").select("key", F.col("id").alias("y"), F.explode(F.array_distinct(F.array(letter(1), letter(2)))).alias("letter"))
-        met = longer.join(mine, ["key", "letter"]).select(F.least("y", "b").alias("a"), F.greatest("y", "b").alias("b"))
-        found = materialize(found.unionAll(star).unionAll(met).distinct(), "crowded-pairs")
-        cliques = materialize(cliques.unionAll(mine.select("key", F.col("b").alias("id"))), "cliques")
-        rows = materialize(dense.where("hi - lo > 1").select("id", "line", "chars", "short", "own", "lo", "hi"), "dense")
-        if rows.head() is None:
-            return found, cliques
-
-
-def _few(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Join a large table with few ids: broadcast them where their number allows."""
-    ids = materialize(ids, "ids")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return table.join(F.broadcast(ids) if small else ids, "id", how)
-
-
-def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
-    """``h1, h2, class_id, first_id, line_first, n_links``: the lines that are equal or near to another.
-
-    ``first_id`` is the class's least doc_id, ``line_first`` that of the line.
+        rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp"))).alias("rep")
+        crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), rep).where(F.col("rows") > CROWD)
+        crowds = materialize(crowds.select("key", "rep"), "crowds")
+        small, crowded = _few(members, crowds.select("key"), "key", "left_anti"), _few(members, crowds, "key", "inner")
+        index = small.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("chars").alias("lx"))
+        other = small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), "errors")
+        near = index.join(other, "key").where("x <> y and cx <> cy and abs(lx - ly) <= errors").select(*pair("x", "y"))
+        star = crowded.where("id <> rep.id and comp <> rep.comp").select(*pair("id", "rep.id"))
+        found = verified(near.unionAll(star))
+        links = found if links is None else links.unionAll(found)
+        if crowds.head() is None:
+            break
+        roots = connected(links.select("a", "b")).select(F.col("node").alias("id"), "root")
+        known = materialize(crowded.drop("rep").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"), "crowded")
+        parted = known.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
+        known = materialize(_few(known, materialize(parted, "parted"), "key", "left_semi"), "parted-crowds")
+        if known.head() is None:
+            break
+        # lines with nothing left to cut: those of one length are linked by then, the longer ones are tried
+        ends, longer = known.where("seg = 0 and mark < 0"), known.where("seg = 0 and mark >= 0")
+        tried = ends.select("key", F.col("id").alias("x"), F.col("comp").alias("cx")).join(longer.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key")
+        links = links.unionAll(verified(tried.where("cx <> cy").select(*pair("x", "y"))))
+        known = known.where("seg > 0")
+        rows = materialize(_cut(known if "line" in known.columns else known.join(texts.select("id", "line"), "id"), most), "cut")
+        members = _members(rows, most, _shared_keys(rows, most), "line", "comp")
+    return links.select("na", "nb"), texts
+
+
+def _cut(crowded: DataFrame, most: int) -> DataFrame:
+    """The lines of crowds without the shared segment, for each length that they index or probe.
+
+    Lengths are exact now: a line is indexed by its own, and probes those less
+    by the edits that are left in its crowd.
     """
-    lines = distinct_lines(docs, min(equal_chars, min_chars))
-    links, cliques = _links(lines.where(F.col("chars") >= min_chars), errors)
-    links = materialize(links, "edit-links")
-    degree = degrees(links, cliques)
-    roots = connected(links).select(F.col("node").alias("id"), "root")
-    known = _few(lines.select("id", "first_id", "n", "h1", "h2"), degree.join(roots, "id"), "left")
-    kept = known.where((F.col("n") > 1) | F.col("root").isNotNull())
-    kept = materialize(kept.select("h1", "h2", F.coalesce("root", "id").alias("class_id"), F.col("first_id").alias("line_first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("root").isNotNull().alias("linked")), "repeated")
-    least = kept.where("linked").groupBy("class_id").agg(F.min("line_first").alias("least"))
-    return kept.join(least, "class_id", "left").select("h1", "h2", "class_id", F.coalesce("least", "line_first").alias("first_id"), "line_first", "n_links")
-
-
-def members(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = ANY_CHARS) -> DataFrame:
-    """``doc_id, place, class_id, kept_doc, n_links``: each line that is in a class, with the document that keeps the class's first line.
-
-    ``class_id`` is the least hash of the class's lines; ``kept_doc`` is null where no document with an id has one.
+    before = F.substring(F.col("line"), F.lit(1), F.col("start") - 1)
+    after = F.substring(F.col("line"), F.col("start") + F.col("seg"), F.col("chars"))
+    left = crowded.select("id", "key", "comp", "errors", (F.col("mark") < 0).alias("own"), (F.col("base") - F.col("seg")).alias("least"), F.concat(before, after).alias("line"))
+    left = left.withColumn("chars", F.char_length("line"))
+    deltas = F.sequence(F.lit(0), F.least("errors", F.col("chars") - F.col("least")))
+    rows = left.where("chars >= least").withColumn("delta", F.explode(deltas))
+    base = (F.col("chars") - F.col("delta")).cast("int")
+    return rows.select("id", "line", "chars", base.alias("base"), "errors", (F.col("own") & (F.col("delta") == 0)).alias("own"), F.xxhash64("key", base).alias("grp"), "comp")
+
+
+# ---------------------------------------------------------------- classes and documents
+
+def line_classes(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``h1, h2, class_id, first, line_first, n_lines``: the lines that are equal or near to another.
+
+    ``first`` is where the class's first line is, ``line_first`` the line's own
+    first place, ``n_lines`` the number of different lines in the class.
+    """
+    links, texts = edit_links(docs, rate, most, min_chars)
+    roots = connected(links, "na", "nb")
+    equal = occurrences(docs).select(*line_hashes(F.col("line")), _first().alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("line_first"), F.count(F.lit(1)).alias("n"))
+    equal = equal.where("n > 1").select("h1", "h2", "line_first")
+    linked = texts.join(roots, "node").select(*line_hashes(F.col("line")), "root", F.col("first").alias("line_first"))
+    both = equal.select("*", F.lit(None).cast("string").alias("root")).unionByName(linked)
+    name = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
+    lines = both.groupBy("h1", "h2").agg(F.min("line_first").alias("line_first"), F.max("root").alias("root"))
+    lines = materialize(lines.select("h1", "h2", "line_first", F.coalesce("root", name).alias("class_id"), F.col("root").isNotNull().alias("linked")), "repeated")
+    classes = lines.where("linked").groupBy("class_id").agg(F.min("line_first").alias("first"), F.count(F.lit(1)).alias("n_lines"))
+    met = lines.join(classes, "class_id", "left")
+    return materialize(met.select("h1", "h2", "class_id", F.coalesce("first", "line_first").alias("first"), "line_first", F.coalesce("n_lines", F.lit(1)).alias("n_lines")), "line-classes")
+
+
+def _of_classes(docs: DataFrame, *args: int) -> DataFrame:
+    """The occurrences of lines that are in a class, and whether they stay."""
+    found = occurrences(docs).select("doc_id", "text_hash", "place", *line_hashes(F.col("line")))
+    met = _few(found, line_classes(docs, *args), ["h1", "h2"], "inner")
+    return met.withColumn("stays", _first() == F.col("first"))
+
+
+def _kept_doc() -> Column:
+    return F.when(F.col("first.doc") != _LAST, F.col("first.doc"))
+
+
+def members(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, place, class_id, kept_doc, kept_place, n_links, stays``: each line that is in a class, and where the class's first line is.
+
+    ``kept_doc`` is null where no document with an id has one.
     """
-    classes = repeated_lines(docs, errors, min_chars, equal_chars)
-    named = classes.join(classes.groupBy("class_id").agg(F.min("h1").alias("name")), "class_id")
-    found = occurrences(docs, min(equal_chars, min_chars)).select("doc_id", "place", *_hashes(F.col("line"))).join(named, ["h1", "h2"])
-    return found.select("doc_id", "place", F.col("name").alias("class_id"), F.when(F.col("first_id") != _LAST, F.col("first_id")).alias("kept_doc"), "n_links")
+    met = _of_classes(docs.select("doc_id", "text"), rate, most, min_chars)
+    return met.select("doc_id", "place", "class_id", _kept_doc().alias("kept_doc"), F.col("first.place").alias("kept_place"), (F.col("n_lines") - 1).alias("n_links"), "stays")
 
 
-def removals(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, text_hash, removed, near, n_links, first_doc`` for each text with lines of a class.
+def removals(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, text_hash, removed, near, n_links, first_doc, classes`` for each text with lines of a class.
 
-    ``removed``: places of lines; ``near``: how many of them differ from the
-    class's first; ``first_doc``: the least document that keeps one of those lines.
+    ``removed``: places of lines; ``near``: places of those that differ from the
+    class's first; ``n_links``: the other different lines in its lines' classes;
+    ``first_doc``: the least document that keeps one of the removed lines;
+    ``classes``: where each class's first line is, as ``doc_id:place``.
     """
-    classes = repeated_lines(docs, errors, min_chars, equal_chars)
-    found = occurrences(docs, min(equal_chars, min_chars)).select("doc_id", "text_hash", "place", *_hashes(F.col("line"))).join(classes, ["h1", "h2"])
-    first = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("text_hash", "place")) == 1
-    own = F.coalesce("doc_id", F.lit(_LAST)) == F.col("first_id")
-    gone = found.withColumn("stays", own & first)
-    return gone.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.when(~F.col("stays"), F.col("place"))).alias("removed"),
-        F.count_if(~F.col("stays") & (F.col("line_first") != F.col("first_id"))).alias("near"),
-        F.sum("n_links").alias("n_links"),
-        F.min(F.when(~F.col("stays") & (F.col("first_id") != _LAST), F.col("first_id"))).alias("first_doc"),
+    met = _of_classes(docs, rate, most, min_chars)
+    named = F.concat_ws(":", F.coalesce(_kept_doc().cast("string"), F.lit("")), "first.place")
+    # identical rows count once
+    once = met.dropDuplicates(["doc_id", "text_hash", "place"])
+    return once.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.when(~F.col("stays"), F.col("place"))).alias("removed"),
+        F.count_if(~F.col("stays") & (F.col("line_first") != F.col("first"))).alias("near"),
+        F.sum(F.col("n_lines") - 1).alias("n_links"),
+        F.min(F.when(~F.col("stays"), _kept_doc())).alias("first_doc"),
+        F.array_join(F.sort_array(F.collect_set(named)), ",").alias("classes"),
     )
 
 
-def _joined(docs: DataFrame, errors: int, min_chars: int, equal_chars: int = MIN_CHARS) -> DataFrame:
+def _joined(docs: DataFrame, *args: int) -> DataFrame:
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = own.select("row", F.col("row.doc_id").alias("_id"), F.xxhash64("row.text").alias("_hash"))
-    gone = removals(docs.select("doc_id", "text"), errors, min_chars, equal_chars)
+    gone = removals(docs.select("doc_id", "text"), *args)
     met = keyed.join(gone.hint("shuffle_hash"), keyed["_id"].eqNullSafe(gone["doc_id"]) & (keyed["_hash"] == gone["text_hash"]), "left")
     lines = F.split("row.text", "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False))), "\n")
     return met.withColumn("cleaned", F.when(F.size("removed") > 0, left).otherwise(F.col("row.text")))
 
 
-def deduplicated(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents without repeated lines; a text may become empty, no row is lost, n_chars follows the text."""
-    met = _joined(docs, errors, min_chars, equal_chars)
-    chars = F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)
-    swap = {"text": F.col("cleaned"), "n_chars": F.coalesce(chars, F.col("row.n_chars"))}
+def deduplicated(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The documents without repeated lines; a text may become empty, no row is lost, n_chars (if there) follows the text."""
+    met = _joined(docs, rate, most, min_chars)
+    swap = {"text": F.col("cleaned")}
+    if "n_chars" in docs.columns:
+        chars = F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)
+        swap["n_chars"] = F.coalesce(chars, F.col("row.n_chars"))
     return met.select(*[swap.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def report(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each document: its lines, those removed, its links, and the least document that keeps one of those lines."""
-    met = _joined(docs.select("doc_id", "text"), errors, min_chars)
+def report(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row for each document: its lines, those removed, its lines' classes and links, and the cleaned text's hash."""
+    met = _joined(docs.select("doc_id", "text"), rate, most, min_chars)
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return met.select(
         F.col("_id").alias("doc_id"),
         F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.greatest(F.lit(0), F.coalesce(F.size("removed"), F.lit(0))).cast("long").alias("n_removed"),
-        F.coalesce("near", F.lit(0)).cast("long").alias("n_removed_near"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        count(F.greatest(F.lit(0), F.size("removed"))).alias("n_removed"),
+        count(F.col("near")).alias("n_removed_near"),
+        count(F.col("n_links")).alias("n_links"),
         "first_doc",
+        F.coalesce("classes", F.lit("")).alias("classes"),
         F.sha2(F.coalesce("cleaned", F.lit("")), 256).alias("cleaned_sha256"),
     )

@@ -26,33 +26,34 @@ x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed,
   NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words) AND lost <= {quality.MAX_LOST} * word_chars AS kept FROM x"""
 
-# One edit leaves the first or the last half of the shorter line in place.
+# Letters of the corpus's languages beside ASCII, and control characters that stand for them: levenshtein counts bytes.
+_LETTERS = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍáúâîàùô"
+_CONTROLS = " || ".join(f"chr({c})" for c in range(1, 32) if c not in (9, 10, 13))
+_ERRORS = f"least({line_dedup.MOST}, greatest(1, {{}} // {line_dedup.RATE}))"
+
+# A line within e edits of a shorter one has one of the shorter one's e + 1 parts somewhere.
 LINE_DEDUP = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-occ AS (SELECT doc_id, place, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM d)
-  WHERE length(line) >= {line_dedup.MIN_CHARS}),
-ln AS (SELECT line, length(line) AS n, min(doc_id) AS first_id, row_number() OVER (ORDER BY line) AS id FROM occ GROUP BY line),
-short AS (SELECT id, line, n, n // 2 AS h FROM ln),
-halves AS (SELECT id, line, n, 1 AS side, substr(line, 1, h) AS part FROM short UNION ALL SELECT id, line, n, 2, substr(line, h + 1) FROM short),
-probes AS (SELECT id, line, l AS n, side, CASE side WHEN 1 THEN substr(line, 1, l // 2) ELSE substr(line, n - (l - l // 2) + 1) END AS part
-  FROM ln, (SELECT unnest([0, 1]) AS delta), LATERAL (SELECT n - delta AS l), (SELECT unnest([1, 2]) AS side)),
-links AS (SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM halves a JOIN probes b ON a.n = b.n AND a.side = b.side AND a.part = b.part AND a.id <> b.id
-  WHERE levenshtein(a.line, b.line) <= {line_dedup.ERRORS}),
+every AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS place FROM d),
+occ AS (SELECT * FROM every WHERE line <> ''),
+ln AS (SELECT line, length(line) AS n, min((doc_id, place)) AS line_first, row_number() OVER (ORDER BY line) AS id FROM occ GROUP BY line),
+sh AS (SELECT id, line, n, translate(line, '{_LETTERS}', {_CONTROLS}) AS code, {_ERRORS.format("n")} AS e FROM ln WHERE n >= {line_dedup.MIN_CHARS}),
+near AS (SELECT a.id AS a, b.id AS b, a.code AS x, b.code AS y, a.e AS e FROM sh a JOIN sh b ON b.n BETWEEN a.n AND a.n + {line_dedup.MOST}
+  WHERE a.id <> b.id AND b.n - a.n <= a.e AND len(list_filter(range(0, a.e + 1), lambda k: contains(b.line, substr(a.line, 1 + k * a.n // (a.e + 1), (k + 1) * a.n // (a.e + 1) - k * a.n // (a.e + 1))))) > 0),
+links AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM near WHERE levenshtein(x, y) <= e),
 ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS id, a AS other FROM ends UNION SELECT r.id, e.b FROM reach r JOIN ends e ON e.a = r.other),
-cls AS (SELECT ln.id, ln.line, ln.first_id AS line_first, coalesce(c, ln.id) AS class_id FROM ln LEFT JOIN (SELECT id, min(other) AS c FROM reach GROUP BY id) r ON r.id = ln.id),
-firsts AS (SELECT class_id, min(line_first) AS first_id FROM cls GROUP BY class_id),
-deg AS (SELECT a AS id, count(*) AS n_links FROM ends GROUP BY a),
-marked AS (SELECT o.doc_id, o.place, o.line, f.first_id, c.line_first, coalesce(g.n_links, 0) AS n_links,
-  NOT (o.doc_id = f.first_id AND row_number() OVER (PARTITION BY o.doc_id, c.class_id ORDER BY o.place) = 1) AS gone
-  FROM occ o JOIN cls c USING (line) JOIN firsts f USING (class_id) LEFT JOIN deg g ON g.id = c.id),
-byd AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND line_first <> first_id) AS n_removed_near, CAST(sum(n_links) AS BIGINT) AS n_links,
-  min(first_id) FILTER (gone) AS first_doc FROM marked GROUP BY doc_id),
-every AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM d),
+cls AS (SELECT ln.id, ln.line, ln.line_first, coalesce(c, ln.id) AS class_id FROM ln LEFT JOIN (SELECT id, min(other) AS c FROM reach GROUP BY id) r ON r.id = ln.id),
+sized AS (SELECT c.class_id, min(c.line_first) AS first, count(DISTINCT c.id) AS n_lines FROM cls c GROUP BY c.class_id),
+times AS (SELECT c.class_id, count(*) AS n FROM occ o JOIN cls c USING (line) GROUP BY c.class_id),
+marked AS (SELECT o.doc_id, o.place, s.first, s.n_lines, c.line_first, (o.doc_id, o.place) <> s.first AS gone
+  FROM occ o JOIN cls c USING (line) JOIN sized s USING (class_id) JOIN times t USING (class_id) WHERE t.n > 1),
+byd AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND line_first <> first) AS n_removed_near, CAST(sum(n_lines - 1) AS BIGINT) AS n_links,
+  min(first[1]) FILTER (gone) AS first_doc, array_to_string(list_sort(list(DISTINCT first[1] || ':' || first[2])), ',') AS classes FROM marked GROUP BY doc_id),
 kept AS (SELECT e.doc_id, sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.place) FILTER (NOT coalesce(m.gone, false)), '')) AS cleaned_sha256, count(*) AS n_lines
   FROM every e LEFT JOIN marked m ON m.doc_id = e.doc_id AND m.place = e.place GROUP BY e.doc_id)
 SELECT k.doc_id, k.n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed_near, 0) AS n_removed_near, coalesce(n_links, 0) AS n_links,
-  first_doc, cleaned_sha256 FROM kept k LEFT JOIN byd b USING (doc_id)"""
+  first_doc, coalesce(classes, '') AS classes, cleaned_sha256 FROM kept k LEFT JOIN byd b USING (doc_id)"""
 
 
 def oracles() -> dict[str, str]:

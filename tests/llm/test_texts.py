@@ -1,4 +1,4 @@
-"""Operators 1, 2, 6, 7, 9 and 10 against brute force in plain Python."""
+"""Operators 1, 2, 6, 7 and 10 against brute force in plain Python."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures
-from tessera.llm import fingerprint, license_scan, line_dedup, quality, queries, sharding, token_files
+from tessera.llm import fingerprint, license_scan, quality, queries, sharding, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = -(1 << 63)
@@ -226,128 +226,6 @@ def test_license_scan(spark, tmp_path):
     assert queries.op7_license_scan(spark, fixtures.write(spark, tmp_path / "none", [])).count() == 0
 
 
-# ---------------------------------------------------------------- 9
-
-def within(a, b, errors):
-    if abs(len(a) - len(b)) > errors:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= errors
-
-
-def near_lines():
-    rng = random.Random(4)
-    base = [fixtures.words(rng, 6)[:40].ljust(24, "q") for _ in range(12)]
-    lines = list(base)
-    for _ in range(120):
-        x = list(rng.choice(base))
-        for _ in range(rng.randint(0, 3)):
-            k = rng.randrange(len(x))
-            rng.choice([lambda: x.insert(k, "z"), lambda: x.pop(k), lambda: x.__setitem__(k, "y")])()
-        lines.append("".join(x))
-    rng.shuffle(lines)
-    return lines
-
-
-@pytest.mark.parametrize("errors", [1, 2, 3])
-def test_edit_links_equal_brute_force(spark, errors):
-    lines = sorted({x for x in near_lines() if len(x) >= 20})
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    table = line_dedup.distinct_lines(docs)
-    text = {r["id"]: r["line"] for r in table.collect()}
-    got = {frozenset((text[r["a"]], text[r["b"]])) for r in line_dedup.edit_links(table, errors).collect()}
-    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if within(a, b, errors)}
-    assert got == want and want
-
-
-def test_crowds_make_no_pairs_of_their_members(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CROWD", 4)
-    base = fixtures.words(random.Random(6), 12)[:60]
-    lines = {base}
-    for k in (3, 30, 59):
-        lines |= {base[:k] + c + base[k + 1 :] for c in "abcdefghijkl"} | {base[:k] + c + base[k:] for c in "mnopqrstu"} | {base[:k] + base[k + 1 :]}
-    lines |= {base + c for c in "vwxyz"} | {x[:10] + "#" + x[11:] for x in list(lines)[:20]} | {"%%" + x[2:] for x in list(lines)[:20]}
-    lines = sorted(lines)
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    table = line_dedup.distinct_lines(docs)
-    text = {r["id"]: r["line"] for r in table.collect()}
-    got = {frozenset((text[r["a"]], text[r["b"]])) for r in line_dedup.edit_links(table, 1).collect()}
-    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if within(a, b, 1)}
-    assert got < want
-
-    def groups(pairs):
-        root = {x: x for x in lines}
-        for _ in lines:
-            for a, b in map(tuple, pairs):
-                root[a] = root[b] = min(root[a], root[b])
-        return root
-
-    assert groups(got) == groups(want)
-
-
-def test_line_dedup_rows(spark, tmp_path):
-    lines = near_lines()
-    data = [(100 + i // 4, "\n".join(lines[i : i + 4]) + "\nshort", None, None, None) for i in range(0, len(lines), 4)]
-    data += [(200, lines[0] + "\n" + lines[0] + "\n\n" + lines[1], None, None, None), (None, lines[2], None, None, None), (300, None, None, None, None), (301, "", None, None, None)]
-    long = [x for x in {x for _, t, *_ in data for x in (t or "").split("\n")} if len(x) >= 20]
-    group = {x: {x} for x in long}
-    for i, a in enumerate(long):
-        for b in long[:i]:
-            if within(a, b, 1) and group[a] is not group[b]:
-                group[a] |= group[b]
-                for x in group[b]:
-                    group[x] = group[a]
-    seen, want = set(), {}
-    for i, t, *_ in sorted(data, key=lambda r: float("inf") if r[0] is None else r[0]):
-        kept = []
-        for x in (t or "").split("\n"):
-            if x in group:
-                if id(group[x]) in seen:
-                    continue
-                seen.add(id(group[x]))
-            kept.append(x)
-        want[i] = "\n".join(kept)
-    folder = fixtures.write(spark, tmp_path, data)
-    got = {r["doc_id"]: r for r in queries.op9_line_dedup(spark, folder).collect()}
-    assert {i: r["cleaned_sha256"] for i, r in got.items()} == {i: sha(t) for i, t in want.items()}
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("row", F.lit(1)).withColumn("removed", F.lit(2))
-    cleaned = line_dedup.deduplicated(docs)
-    assert cleaned.columns == docs.columns
-    assert {r["doc_id"]: r["text"] for r in cleaned.collect() if r["doc_id"] != 300} == {i: t for i, t in want.items() if i != 300}
-
-
-def test_line_dedup_keeps_awkward_rows(spark, tmp_path):
-    data = fixtures.rows()
-    got = queries.op9_line_dedup(spark, fixtures.write(spark, tmp_path, data)).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in data)
-    assert queries.op9_line_dedup(spark, fixtures.write(spark, tmp_path / "none", [])).count() == 0
-
-
-def test_links_of_a_crowd_are_all_counted(spark, tmp_path):
-    lines = [f"This is the footer of page {k}" for k in range(100)]
-    lines += [f"This is the footer of page {k}" for k in ("1x", "x1", "123", "1 2", "")] + [f"this is the footer of page {k}" for k in range(40, 50)]
-    lines += [f"{a}{b} is the running head of this book" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefgh"]
-    lines += [f"Chapter and verse of volume {c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN"]
-    data = [(k, x, None, None, None) for k, x in enumerate(lines)]
-    got = {r["doc_id"]: r["n_links"] for r in queries.op9_line_dedup(spark, fixtures.write(spark, tmp_path, data)).collect()}
-    assert got == {k: sum(within(a, b, 1) for b in lines) - 1 for k, a in enumerate(lines)}
-    assert got[len(lines) - 1] == 39
-
-
-def test_line_classes_list_every_link_of_a_document(spark, tmp_path):
-    common, passage = "A common line of many documents.", "A long passage that two documents share."
-    texts = {3: common, 500: passage + "\nOnly here, in this one document.\nLes.", 600: f"{common}\n{passage[:-1]}!\nLes.", None: "A common line of many documents"}
-    data = [(k, t, None, None, None) for k, t in texts.items()]
-    rows = queries.op9_line_classes(spark, fixtures.write(spark, tmp_path, data)).collect()
-    got = {(r["doc_id"], r["place"]): (r["kept_doc"], r["n_links"]) for r in rows}
-    assert got == {(3, 0): (3, 1), (600, 0): (3, 1), (None, 0): (3, 1), (500, 0): (500, 1), (600, 1): (500, 1), (500, 2): (500, 0), (600, 2): (500, 0)}
-    assert len({r["class_id"] for r in rows}) == 3 and len(rows) == 7
-
-
 # ---------------------------------------------------------------- 10
 
 def test_sharding(spark, tmp_path):
