@@ -44,8 +44,8 @@ from tessera.llm.common import let, materialize
 from tessera.llm.components import connected
 
 #: Characters of the shorter line for each edit; also the width of a class of lengths.
-RATE = 32
-MOST = 4
+RATE = 64
+MOST = 2
 #: Shorter lines are compared for equality only.
 MIN_CHARS = 20
 #: Keys and classes are broadcast up to this number (about 16 MB); beyond it the join shuffles.
@@ -182,33 +182,67 @@ def _few(table: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> Da
 
 # ---------------------------------------------------------------- verification
 
+#: Columns after which a verification looks whether it can still succeed.
+BLOCK = 24
+
+
+def _same_ends(x: Column, y: Column) -> Column:
+    """Number of first characters that both texts have, by bisection; ``x`` mustn't be longer."""
+    size = F.char_length(x)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        same = lambda k: F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k)
+        agree = lambda k: F.struct(k.alias("low"), s["high"].alias("high"))
+        differ = lambda k: F.struct(s["low"].alias("low"), (k - 1).alias("high"))
+        return F.when(s["low"] >= s["high"], s).otherwise(let(mid, lambda k: F.when(same(k), agree(k)).otherwise(differ(k))))
+
+    steps = F.length(F.bin(size.cast("long")))
+    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda s: s["low"])
+
+
 def edit_distance(x: Column, y: Column, most: int) -> Column:
     """Edit distance where it is ``most`` or less, else a greater number: bit vectors of a band of 2 most + 1 diagonals in a long.
 
-    ``x`` mustn't be longer than ``y``.  Column by column of ``y``: bit b stands
-    for the row j - most + b of ``x``.  The distance is followed down the main
-    diagonal to the last row, then along that row.
+    ``x`` mustn't be longer than ``y``.  What both begin with is skipped.  Then,
+    column by column of ``y``, bit b stands for the row j - most + b of ``x``.
+    The distance is followed down the main diagonal to the last row, then along
+    that row.  A pair that is beyond its budget after a block goes no further.
     """
     if 2 * most + 1 > 62:
         raise ValueError("the band must fit a long")
+    far = F.char_length(y) - F.char_length(x) > most
+
+    def rest(skip: Column) -> Column:
+        cut = lambda t: F.substring(t, skip + 1, F.char_length(t))
+        return let(F.struct(cut(x).alias("x"), cut(y).alias("y")), lambda p: _banded(p["x"], p["y"], most))
+
+    return F.when(far, F.lit(most + 1).cast("long")).otherwise(let(_same_ends(x, y), rest))
+
+
+def _banded(x: Column, y: Column, most: int) -> Column:
     mask = F.lit((1 << (2 * most + 1)) - 1).cast("long")
-    chars = lambda t: F.split(t, "")
     flip = lambda v: F.bitwise_not(v).bitwiseAND(mask)
     bit = lambda v, b: F.call_function("shiftright", v, b).bitwiseAND(F.lit(1).cast("long"))
+    m, n = F.char_length(x), F.char_length(y)
+    # down the diagonal the distance never falls, and along the last row by n - m at most
+    lost = lambda s: s["dist"] > most + s["slack"]
 
-    def walk(xs: Column, ys: Column, m: Column, n: Column) -> Column:
+    def columns(xs: Column, ys: Column, first: Column, last: Column, state: Column) -> Column:
         def step(s: Column, j: Column) -> Column:
             def with_matches(eq: Column) -> Column:
                 d0 = ((eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(mask)
 
                 def with_d0(d: Column) -> Column:
                     def with_hp(hp: Column) -> Column:
-                        hn, moved = d.bitwiseAND(s["vp"]), F.shiftrightunsigned(d, 1)
-                        along = bit(hp, m - j + most) - bit(hn, m - j + most)
+                        hn, moved, row = d.bitwiseAND(s["vp"]), F.shiftrightunsigned(d, 1), s["rows"] - j + most
                         return F.struct(
                             hn.bitwiseOR(flip(moved.bitwiseOR(hp))).alias("vp"),
                             moved.bitwiseAND(hp).alias("vn"),
-                            (s["dist"] + F.when(j <= m, F.lit(1).cast("long") - bit(d, F.lit(most))).otherwise(along)).alias("dist"),
+                            (s["dist"] + F.when(j <= s["rows"], F.lit(1).cast("long") - bit(d, F.lit(most))).otherwise(bit(hp, row) - bit(hn, row))).alias("dist"),
+                            s["rows"].alias("rows"),
+                            s["slack"].alias("slack"),
                         )
 
                     return let(s["vn"].bitwiseOR(flip(d.bitwiseOR(s["vp"]))), with_hp)
@@ -220,19 +254,19 @@ def edit_distance(x: Column, y: Column, most: int) -> Column:
             total = same[0]
             for v in same[1:]:
                 total = total + v
-            # down the diagonal the distance never falls, and along the row by n - m at most
-            return F.when(s["dist"] > most + n - m, s).otherwise(let(total, with_matches))
+            return F.when(lost(s), s).otherwise(let(total, with_matches))
 
-        # in the column before the first each row is one more than the row above
-        start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).cast("long").alias("dist"))
-        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["dist"])
+        return F.aggregate(F.sequence(first, last), state, step)
 
-    def sized(p: Column) -> Column:
-        return walk(p["x"], p["y"], F.size(p["x"]), F.size(p["y"]))
+    def with_ends(chars: Callable[[Column], Column], first: Column, last: Column, state: Column) -> Column:
+        return let(F.struct(chars(x).alias("x"), chars(y).alias("y")), lambda p: columns(p["x"], p["y"], first, last, state))
 
-    far = F.char_length(y) - F.char_length(x) > most
-    found = let(F.struct(chars(x).alias("x"), chars(y).alias("y")), sized)
-    return F.when(far, F.lit(most + 1).cast("long")).when(F.char_length(x) == 0, F.char_length(y).cast("long")).otherwise(found)
+    # in the column before the first each row is one more than the row above
+    start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).cast("long").alias("dist"), m.alias("rows"), (n - m).alias("slack"))
+    begin = with_ends(lambda t: F.split(F.substring(t, 1, BLOCK + most), ""), F.lit(1), F.least(n, F.lit(BLOCK)), start)
+    whole = lambda s: with_ends(lambda t: F.split(t, ""), F.lit(BLOCK + 1), n, s)["dist"]
+    found = let(begin, lambda s: F.when(lost(s) | (n <= BLOCK), s["dist"]).otherwise(whole(s)))
+    return F.when(m == 0, n.cast("long")).otherwise(found)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rate: int, most: int, min_chars: int) -> DataFrame:
