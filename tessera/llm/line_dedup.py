@@ -18,10 +18,11 @@ Candidates are verified on whole lines by banded bit-parallel edit distance.
 
 Crowds.  A key that more than ``CROWD`` lines share makes no pairs of them.  All
 its lines are verified against one of them; a crowd whose lines are then in one
-class is done.  Otherwise the shared segment is cut out of its lines, and what
-is left of them joins in the same way within the crowd, as all edits lie there.
-That goes on until no crowd with lines of two classes is left.  Only the plan
-depends on ``CROWD``: classes are those of all linked pairs.
+class is done.  Otherwise its lines meet by exact length too, the shared segment
+is cut out, and where that leaves a crowd the rest is cut into ``WINDOWS`` windows: e edits lie in e of them at most, so linked lines
+share all of the rest but those windows, a longer key.  Windows are cut again
+while there are crowds with lines of two classes.  Only the plan depends on
+``CROWD``: classes are those of all linked pairs.
 
 Links join lines into classes; of a class the first line stays, by doc_id, then
 hash of the text, then place.  ``n_links`` counts the other different lines of
@@ -36,6 +37,8 @@ texts are treated like any other.  Extra columns are kept, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +54,9 @@ MIN_CHARS = 20
 #: Keys and classes are broadcast up to this number (about 16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: More lines than this with one key are a crowd.
-CROWD = 64
+CROWD = 16
+#: Windows into which a crowd's lines are cut.
+WINDOWS = 8
 _LAST = (1 << 63) - 1
 _SIGN = -(1 << 63)
 
@@ -143,32 +148,29 @@ def _mark(own: Column) -> Column:
 def _shared_keys(rows: DataFrame, most: int) -> DataFrame:
     """Keys that an indexed line has as its own and another line has too.
 
-    Two numbers a key, combined before the shuffle.  A line's probe that equals
-    one of its own segments is left out, so own marks and probe marks are of
-    different lines.
+    Two numbers a key, combined before the shuffle.
     """
 
     def keys(e: int) -> Column:
-        own = F.array(*[_key(e, k, r, s) for k, r, s in probes(e) if not s])
-        moved = [_key(e, k, r, s) for k, r, s in probes(e) if s]
-        return F.concat(own, F.array_except(F.array(*moved), own)) if moved else own
+        return F.array(*[_key(e, k, r, s) for k, r, s in sorted(probes(e), key=lambda p: p[2] != 0)])  # own segments first
 
-    whole = F.array(F.xxhash64("grp", F.lit(-1)))
-    exploded = _segmented(rows).select("id", "own", "errors", "seg", F.posexplode(F.when(F.col("seg") == 0, whole).otherwise(_by_errors(most, keys))).alias("at", "key"))
-    marked = exploded.select("key", _mark(F.col("own") & (F.col("at") <= F.col("errors"))).alias("mark"))
+    exploded = _segmented(rows).select("id", "own", "errors", F.posexplode(_by_errors(most, keys)).alias("at", "key"))
+    return _met_keys(exploded.select("key", _mark(F.col("own") & (F.col("at") <= F.col("errors"))).alias("mark")))
+
+
+def _met_keys(marked: DataFrame) -> DataFrame:
     least = marked.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
     return materialize(least.where("low < 0 and low <> high").select("key"), "shared-keys")
 
 
-def _members(rows: DataFrame, most: int, shared: DataFrame, *carry: str) -> DataFrame:
-    """``key, id, mark, start, seg`` and columns to carry, of rows with a shared key."""
+def _members(rows: DataFrame, most: int, shared: DataFrame) -> DataFrame:
+    """``key, id, mark, start, seg, chars, base, errors``: the rows with a shared key."""
 
     def keys(e: int) -> Column:
         return F.array(*[F.struct(_key(e, k, r, s).alias("key"), _start(k, r, s, (e + 2) // 2).alias("start"), F.lit(not s).alias("mine")) for k, r, s in probes(e)])
 
-    whole = F.array(F.struct(F.xxhash64("grp", F.lit(-1)).alias("key"), F.lit(1).alias("start"), F.lit(True).alias("mine")))
-    kept = ["id", "chars", "base", "errors", "seg", *carry]
-    exploded = _segmented(rows).select(*kept, "own", F.explode(F.when(F.col("seg") == 0, whole).otherwise(_by_errors(most, keys))).alias("k"))
+    kept = ["id", "chars", "base", "errors", "seg"]
+    exploded = _segmented(rows).select(*kept, "own", F.explode(_by_errors(most, keys)).alias("k"))
     marked = exploded.select("k.key", _mark(F.col("own") & F.col("k.mine")).alias("mark"), F.col("k.start").alias("start"), *kept)
     # a hot line has its keys in every document that has it: combined before the shuffle
     return materialize(_few(marked, shared, "key", "left_semi").dropDuplicates(["key", "mark", "start"]), "members")
@@ -296,7 +298,7 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
     texts = materialize(told.select("id", node.alias("node"), "line", F.char_length("line").alias("chars"), "first", "n"), "texts")
     verified = lambda pairs: _verified(materialize(pairs.distinct(), "pairs"), texts, rate, most, min_chars)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    members, links = members.withColumn("comp", F.col("id")), None
+    members, links, ends = members.withColumn("comp", F.col("id")), None, None
     while True:
         rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp"))).alias("rep")
         crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), rep).where(F.col("rows") > CROWD)
@@ -306,27 +308,29 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
         other = small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), "errors")
         near = index.join(other, "key").where("x <> y and cx <> cy and abs(lx - ly) <= errors").select(*pair("x", "y"))
         star = crowded.where("id <> rep.id and comp <> rep.comp").select(*pair("id", "rep.id"))
-        found = verified(near.unionAll(star))
+        found = verified(near.unionAll(star) if ends is None else near.unionAll(star).unionAll(ends))
         links = found if links is None else links.unionAll(found)
         if crowds.head() is None:
             break
         roots = connected(links.select("a", "b")).select(F.col("node").alias("id"), "root")
-        known = materialize(crowded.drop("rep").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"), "crowded")
+        known = crowded.drop("rep").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
         parted = known.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
         known = materialize(_few(known, materialize(parted, "parted"), "key", "left_semi"), "parted-crowds")
         if known.head() is None:
             break
-        # lines with nothing left to cut: those of one length are linked by then, the longer ones are tried
-        ends, longer = known.where("seg = 0 and mark < 0"), known.where("seg = 0 and mark >= 0")
-        tried = ends.select("key", F.col("id").alias("x"), F.col("comp").alias("cx")).join(longer.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key")
-        links = links.unionAll(verified(tried.where("cx <> cy").select(*pair("x", "y"))))
-        known = known.where("seg > 0")
-        rows = materialize(_cut(known if "line" in known.columns else known.join(texts.select("id", "line"), "id"), most), "cut")
-        members = _members(rows, most, _shared_keys(rows, most), "line", "comp")
+        if "start" in known.columns:
+            rows, ends = materialize(_cut(known.join(texts.select("id", "line"), "id")), "cut"), None
+        else:
+            # lines with nothing left to cut: those of one length are linked by now, the longer ones are tried
+            last, rows = known.where("base <= errors"), _windowed(known.where("base > errors"), most)
+            index = last.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
+            tried = index.join(last.where("mark >= 0").select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key")
+            ends = tried.where("cx <> cy").select(*pair("x", "y"))
+        members = materialize(_few(rows, _met_keys(rows.select("key", "mark")), "key", "left_semi").dropDuplicates(["key", "mark", "line"]), "members")
     return links.select("na", "nb"), texts
 
 
-def _cut(crowded: DataFrame, most: int) -> DataFrame:
+def _cut(crowded: DataFrame) -> DataFrame:
     """The lines of crowds without the shared segment, for each length that they index or probe.
 
     Lengths are exact now: a line is indexed by its own, and probes those less
@@ -334,12 +338,56 @@ def _cut(crowded: DataFrame, most: int) -> DataFrame:
     """
     before = F.substring(F.col("line"), F.lit(1), F.col("start") - 1)
     after = F.substring(F.col("line"), F.col("start") + F.col("seg"), F.col("chars"))
-    left = crowded.select("id", "key", "comp", "errors", (F.col("mark") < 0).alias("own"), (F.col("base") - F.col("seg")).alias("least"), F.concat(before, after).alias("line"))
-    left = left.withColumn("chars", F.char_length("line"))
+    left = crowded.withColumn("least", F.col("base") - F.col("seg")).withColumn("line", F.concat(before, after)).withColumn("chars", F.char_length("line"))
     deltas = F.sequence(F.lit(0), F.least("errors", F.col("chars") - F.col("least")))
-    rows = left.where("chars >= least").withColumn("delta", F.explode(deltas))
-    base = (F.col("chars") - F.col("delta")).cast("int")
-    return rows.select("id", "line", "chars", base.alias("base"), "errors", (F.col("own") & (F.col("delta") == 0)).alias("own"), F.xxhash64("key", base).alias("grp"), "comp")
+    rows = left.where("chars >= least").withColumn("delta", F.explode(deltas)).withColumn("base", (F.col("chars") - F.col("delta")).cast("int"))
+    mark = _mark((F.col("mark") < 0) & (F.col("delta") == 0))
+    return rows.select(F.xxhash64("key", "base").alias("key"), "id", mark.alias("mark"), "comp", "errors", "base", "chars", "line")
+
+
+def dirty_windows(errors: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Choices of as many of ``WINDOWS`` windows as there are edits, and shifts of the parts between them.
+
+    Two edits in one window also leave out a window beside it, so that k edits
+    lie before the part that follows the k-th window, and errors - k behind.
+    """
+    out = []
+    for t in combinations(range(WINDOWS), errors):
+        ranges = [(0,) if a + 1 == b else range(-k, k + 1) for k, (a, b) in enumerate(zip(t, t[1:]), 1)]
+        out += [(t, (0, *s)) for s in product(*ranges)]
+    return out
+
+
+def _windowed(rows: DataFrame, most: int) -> DataFrame:
+    """``key, id, mark, comp, errors, base, chars, line``: what all edits leave of a line, as key, and the rest of the line.
+
+    The indexed line is cut into ``WINDOWS`` windows, at most ``errors`` of them
+    with edits; the parts before, between and after are the same in a linked
+    line, at a shift.
+    """
+    delta = F.col("chars") - F.col("base")
+
+    def choices(e: int) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, t)).alias("t"), F.array(*map(F.lit, s)).alias("s")) for n, (t, s) in enumerate(dirty_windows(e))])
+
+    def parts(e: int) -> Column:
+        edge = lambda w: F.floor(F.col("base") * w / WINDOWS).cast("int")
+
+        def one(c: Column) -> Column:
+            shift = [*[F.get(c["s"], k) for k in range(e)], delta]
+            stop = [edge(F.get(c["t"], k)) + shift[k] for k in range(e)] + [F.col("chars")]
+            start = [F.lit(0)] + [edge(F.get(c["t"], k - 1) + 1) + shift[k] for k in range(1, e + 1)]
+            fits = reduce(lambda a, b: a & b, [(start[k] >= stop[k - 1]) for k in range(1, e + 1)] + [(F.abs(shift[k] - delta) <= e - k) | (start[k] >= stop[k]) for k in range(1, e)], F.lit(True))
+            key = F.xxhash64("key", F.array_join(c["t"], ","), *[F.substring(F.col("line"), start[k] + 1, F.greatest(F.lit(0), stop[k] - start[k])) for k in range(e + 1)])
+            rest = F.concat(*[F.substring(F.col("line"), stop[k] + 1, start[k + 1] - stop[k]) for k in range(e)])
+            mine = (F.col("mark") < 0) & F.forall(c["s"], lambda x: x == 0)
+            return F.when(fits, F.struct(key.alias("key"), rest.alias("line"), mine.alias("mine")))
+
+        return F.transform(choices(e), one)
+
+    exploded = rows.select("id", "comp", "errors", delta.alias("delta"), F.explode(_by_errors(most, parts)).alias("k")).where("k is not null")
+    chars = F.char_length("k.line")
+    return exploded.select("k.key", "id", _mark(F.col("k.mine")).alias("mark"), "comp", "errors", (chars - F.col("delta")).cast("int").alias("base"), chars.alias("chars"), "k.line")
 
 
 # ---------------------------------------------------------------- classes and documents
