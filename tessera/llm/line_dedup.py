@@ -56,7 +56,7 @@ BROADCAST_IDS = 1_000_000
 #: More lines than this with one key are a crowd.
 CROWD = 16
 #: Windows into which a crowd's lines are cut.
-WINDOWS = 8
+WINDOWS = 4
 _LAST = (1 << 63) - 1
 _SIGN = -(1 << 63)
 
