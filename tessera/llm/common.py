@@ -67,6 +67,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys are broadcast up to this number (about 16 MB); beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
+def join_few(table: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join with a table that may be small: it is counted, and broadcast where its number of rows allows."""
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return table.join(F.broadcast(keys) if small else keys, on, how)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -43,7 +43,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, materialize
+from tessera.llm.common import join_few, let, materialize
 from tessera.llm.components import connected
 
 #: Characters of the shorter line for each edit; also the width of a class of lengths.
@@ -51,8 +51,6 @@ RATE = 64
 MOST = 2
 #: Shorter lines are compared for equality only.
 MIN_CHARS = 20
-#: Keys and classes are broadcast up to this number (about 16 MB); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
 #: More lines than this with one key are a crowd.
 CROWD = 16
 #: Windows into which a crowd's lines are cut.
@@ -173,13 +171,7 @@ def _members(rows: DataFrame, most: int, shared: DataFrame) -> DataFrame:
     exploded = _segmented(rows).select(*kept, "own", F.explode(_by_errors(most, keys)).alias("k"))
     marked = exploded.select("k.key", _mark(F.col("own") & F.col("k.mine")).alias("mark"), F.col("k.start").alias("start"), *kept)
     # a hot line has its keys in every document that has it: combined before the shuffle
-    return materialize(_few(marked, shared, "key", "left_semi").dropDuplicates(["key", "mark", "start"]), "members")
-
-
-def _few(table: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
-    """Join with few keys: broadcast them where their number allows."""
-    small = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return table.join(F.broadcast(keys) if small else keys, on, how)
+    return materialize(join_few(marked, shared, "key", "left_semi").dropDuplicates(["key", "mark", "start"]), "members")
 
 
 # ---------------------------------------------------------------- verification
@@ -293,7 +285,7 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
     members = _members(top, most, _shared_keys(top, most))
     ids = materialize(members.select("id").distinct(), "ids")
     lines = occurrences(docs).where(F.char_length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
-    told = _few(lines, ids, "id", "left_semi").groupBy("id", "line").agg(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n"))
+    told = join_few(lines, ids, "id", "left_semi").groupBy("id", "line").agg(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n"))
     node = F.concat(F.hex("id"), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "line")))
     texts = materialize(told.select("id", node.alias("node"), "line", F.char_length("line").alias("chars"), "first", "n"), "texts")
     verified = lambda pairs: _verified(materialize(pairs.distinct(), "pairs"), texts, rate, most, min_chars)
@@ -303,7 +295,7 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
         rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp"))).alias("rep")
         crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), rep).where(F.col("rows") > CROWD)
         crowds = materialize(crowds.select("key", "rep"), "crowds")
-        small, crowded = _few(members, crowds.select("key"), "key", "left_anti"), _few(members, crowds, "key", "inner")
+        small, crowded = join_few(members, crowds.select("key"), "key", "left_anti"), join_few(members, crowds, "key", "inner")
         index = small.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("chars").alias("lx"))
         other = small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), "errors")
         near = index.join(other, "key").where("x <> y and cx <> cy and abs(lx - ly) <= errors").select(*pair("x", "y"))
@@ -315,7 +307,7 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
         roots = connected(links.select("a", "b")).select(F.col("node").alias("id"), "root")
         known = crowded.drop("rep").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
         parted = known.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
-        known = materialize(_few(known, materialize(parted, "parted"), "key", "left_semi"), "parted-crowds")
+        known = materialize(join_few(known, materialize(parted, "parted"), "key", "left_semi"), "parted-crowds")
         if known.head() is None:
             break
         if "start" in known.columns:
@@ -326,7 +318,7 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
             index = last.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
             tried = index.join(last.where("mark >= 0").select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key")
             ends = tried.where("cx <> cy").select(*pair("x", "y"))
-        members = materialize(_few(rows, _met_keys(rows.select("key", "mark")), "key", "left_semi").dropDuplicates(["key", "mark", "line"]), "members")
+        members = materialize(join_few(rows, _met_keys(rows.select("key", "mark")), "key", "left_semi").dropDuplicates(["key", "mark", "line"]), "members")
     return links.select("na", "nb"), texts
 
 
@@ -415,7 +407,7 @@ def line_classes(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars:
 def _of_classes(docs: DataFrame, *args: int) -> DataFrame:
     """The occurrences of lines that are in a class, and whether they stay."""
     found = occurrences(docs).select("doc_id", "text_hash", "place", *line_hashes(F.col("line")))
-    met = _few(found, line_classes(docs, *args), ["h1", "h2"], "inner")
+    met = join_few(found, line_classes(docs, *args), ["h1", "h2"], "inner")
     return met.withColumn("stays", _first() == F.col("first"))
 
 

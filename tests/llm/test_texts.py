@@ -275,12 +275,49 @@ def test_sharding(spark, tmp_path):
     assert queries.op10_sharding(spark, fixtures.write(spark, tmp_path / "none", [])).count() == 0
 
 
-def test_shards_are_near_equal(spark):
+def shard_data():
     rng = random.Random(8)
-    data = [(i, "x" * rng.randint(1, 300), rng.choice(["en", "de"]), f"s{rng.randint(0, 5)}", 0) for i in range(3000)]
-    data += [(5000 + i, "hot " * 40, "en", "hot", 0) for i in range(2000)]
-    sizes = Counter()
-    for r in sharding.kd_shards(fixtures.frame(spark, data)).collect():
+    data = [(i, "x" * rng.randint(1, 300) + str(i), rng.choice(["en", "de"]), f"s{rng.randint(0, 5)}", 0) for i in range(3000)]
+    data += [(5000 + i, "hot " * 40, rng.choice(["en", "fr"]), rng.choice(["hot", "s1"]), 0) for i in range(1000)]  # more than a shard
+    data += [(7000 + i, "warm " * 30 + str(i % 9), "en", rng.choice(["hot", "s1"]), 0) for i in range(900)]
+    return data
+
+
+def test_shards_are_near_equal_and_keep_equal_texts_together(spark):
+    data = shard_data()
+    text = {r[0]: r[1] for r in data}
+    sizes, where = Counter(), defaultdict(set)
+    for r in sharding.kd_shards(fixtures.frame(spark, data).withColumn("node", F.lit(1)).withColumn("tie", F.lit(1)).withColumn("weight", F.lit(2))).collect():
         sizes[r["shard"]] += r["size"]
+        where[text[r["doc_id"]]].add(r["shard"])
     assert len(sizes) == 16
-    assert max(sizes.values()) - min(sizes.values()) < 4 * 301
+    assert max(sizes.values()) - min(sizes.values()) < 0.06 * sum(sizes.values()) / 16
+    assert [t for t, s in where.items() if len(s) > 1] == ["hot " * 40]  # only what exceeds a shard
+
+
+def test_tree_equals_brute_force(spark):
+    """The tree over the units' dimensions by sorting, without the narrowing."""
+    rows = sharding._sized(fixtures.frame(spark, shard_data()[:3000]))
+    placed = {(r["h1"], r["h2"]): r for r in sharding._placed(sharding.units(rows)).collect()}
+    tie = {(r["h1"], r["h2"]): r["t"] for r in rows.select("h1", "h2", F.pmod(F.xxhash64("h1", "h2"), F.lit(sharding._TIES)).alias("t")).collect()}
+    assert len({r[d] for r in placed.values() for d in ("d_source",)}) == 6
+    want = {}
+
+    def split(keys, node, level):
+        if level == 4:
+            want.update(dict.fromkeys(keys, node))
+            return
+        widest = max(sharding.DIMENSIONS, key=lambda d: max(placed[k][d] for k in keys) - min(placed[k][d] for k in keys))
+        keys = sorted(keys, key=lambda k: (placed[k][widest], tie[k]))
+        half, run = sum(placed[k]["weight"] for k in keys) / 2, 0
+        for n, k in enumerate(keys, 1):
+            run += placed[k]["weight"]
+            if run >= half:
+                break
+        split(keys[:n], 2 * node, level + 1)
+        split(keys[n:], 2 * node + 1, level + 1)
+
+    split(list(placed), 0, 0)
+    ids = {(r["h1"], r["h2"]): r["doc_id"] for r in rows.collect()}
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(fixtures.frame(spark, shard_data()[:3000])).collect()}
+    assert got == {ids[k]: v for k, v in want.items()}
