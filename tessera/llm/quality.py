@@ -127,21 +127,29 @@ def _judged(text: Column) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), "\n"), of_lines)
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """Add ``_quality``: the statistics, ``lost_chars``, ``kept_lines``, ``base_failed`` and ``kept``."""
+def assess(docs: DataFrame, name: str = "_quality") -> DataFrame:
+    """Add a column: the statistics, ``lost_chars``, ``kept_lines``, ``base_failed`` and ``kept``."""
     # generated, not projected: a filter on the verdict would else be pushed below and judge the text again for each field
-    judged = docs.select("*", F.explode(F.array(_judged(F.col("text")))).alias("_quality"))
-    q = F.col("_quality")
+    judged = docs.select("*", F.explode(F.array(_judged(F.col("text")))).alias(name))
+    q = F.col(name)
     base = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED * q["n_words"])
     kept = ~base & (q["lost_chars"] <= MAX_LOST * q["word_chars"])
-    return judged.withColumn("_quality", q.withField("base_failed", base).withField("kept", kept))
+    return judged.withColumn(name, q.withField("base_failed", base).withField("kept", kept))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without their failing lines; the columns stay, n_chars follows the text."""
-    text = F.array_join("_quality.kept_lines", "\n")
-    found = assess(docs).where("_quality.kept").withColumn("text", text).drop("_quality")
-    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """The documents that are kept, without their failing lines; the columns stay, n_chars (if there) follows the text.
+
+    Other columns may have any name; the table may be empty.
+    """
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    text = F.array_join(F.col(name)["kept_lines"], "\n")
+    found = assess(docs, name).where(F.col(name)["kept"]).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(assessed: DataFrame) -> DataFrame:

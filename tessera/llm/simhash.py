@@ -12,7 +12,8 @@ walk runs with growing budgets and also drops pairs of nodes whose leaves are
 all in one component already: a dense group costs no pairs of its members.
 Parts give spanning links, which ``components.connected`` joins.
 
-A null text has no words; texts without words have fingerprint zero, which
+Very long texts are whole; a table may be empty or have other columns, which
+are dropped.  A null text has no words; texts without words have fingerprint zero, which
 links like any other.  A null doc_id is kept and never names a component
 unless it is the only id there.  Repeated rows repeat in the result.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import mapper
-from tessera.llm.common import materialize, shuffle_partitions
+from tessera.llm.common import join_few, materialize, shuffle_partitions
 from tessera.llm.components import connected
 
 BITS = 64
@@ -37,6 +38,10 @@ WIDTH = 4
 SEED = 42
 #: Node pairs held at once; a larger frontier is walked in halves.
 FRONTIER = 1_000_000
+#: Codes held at once, but for a larger single block value.
+HELD_ROWS = 1 << 20
+#: Parts of the trie for each shuffle partition.
+PARTS = 4
 #: Shingle hashes whose bits are counted at once.
 COUNT_ROWS = 1 << 17
 
@@ -70,16 +75,16 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+    """``doc_id, text_hash, fp``: the fingerprint as a signed long, and 64 bits that tell a row's text from others with its doc_id."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_hashes(t or b"", width, seed) for t in batch.column(1).to_pylist()]
+        found = [shingle_hashes(t or b"", width, seed) for t in batch.column(2).to_pylist()]
         sizes = np.array([len(x) for x in found], np.int64)
         hashes = np.fromiter((h for x in found for h in x), np.uint64, int(sizes.sum()))
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(majority_bits(hashes, sizes).view(np.int64))})
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": pa.array(majority_bits(hashes, sizes).view(np.int64))})
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    return narrow.mapInArrow(mapper(step, "text"), "doc_id long, fp long")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.encode("text", "UTF-8").alias("text"))
+    return narrow.mapInArrow(mapper(step, "text"), "doc_id long, text_hash long, fp long")
 
 
 # ---------------------------------------------------------------- trie self-join
@@ -104,10 +109,22 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         _find(parent)
 
 
+def _first_one(codes: np.ndarray, low: np.ndarray, high: np.ndarray, bit: int) -> np.ndarray:
+    """For ranges of sorted codes that agree above ``bit``: where the codes with that bit begin, by bisection."""
+    low, high = low.copy(), high.copy()
+    while (live := np.flatnonzero(low < high)).size:
+        mid = (low[live] + high[live]) >> 1
+        one = (codes[mid] >> np.uint64(bit)) & np.uint64(1) == 1
+        high[live[one]] = mid[one]
+        low[live[~one]] = mid[~one] + 1
+    return low
+
+
 def trie_join(codes: np.ndarray, firsts: np.ndarray, errors: int) -> np.ndarray:
     """Component labels within groups of sorted distinct codes; ``firsts`` are the groups' starts.
 
-    A node is a range of codes that share their leading bits.
+    A node is a range of codes that share their leading bits; its children are
+    parted by bisection, so that nothing but the codes and labels is held.
     """
     n = len(codes)
     parent = np.arange(n)
@@ -115,7 +132,6 @@ def trie_join(codes: np.ndarray, firsts: np.ndarray, errors: int) -> np.ndarray:
     many = ends - firsts > 1
     if not many.any():
         return parent
-    ones = [np.r_[0, np.cumsum((codes >> np.uint64(b)) & np.uint64(1), dtype=np.int64)] for b in range(BITS)]
     for budget in sorted({1, 2, errors} & set(range(1, errors + 1))) or [0]:
         changes = np.r_[0, 0, np.cumsum(parent[1:] != parent[:-1])]  # index i: changes before position i
         zero = np.zeros(int(many.sum()), np.int64)
@@ -126,7 +142,7 @@ def trie_join(codes: np.ndarray, firsts: np.ndarray, errors: int) -> np.ndarray:
                 half = len(al) // 2
                 stack += [(bit, *(x[:half] for x in (al, ah, bl, bh, diff))), (bit, *(x[half:] for x in (al, ah, bl, bh, diff)))]
                 continue
-            am, bm = ah - (ones[bit][ah] - ones[bit][al]), bh - (ones[bit][bh] - ones[bit][bl])
+            am, bm = _first_one(codes, al, ah, bit), _first_one(codes, bl, bh, bit)
             twin = al == bl
             mixed = ~twin
             parts = [
@@ -168,39 +184,76 @@ def links(codes: DataFrame, errors: int = ERRORS) -> DataFrame:
         F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1).alias("value"))
         for i, (a, w) in enumerate(blocks_of(errors))
     ]
-    dealt = (
-        codes.select("fp", F.explode(F.array(*keys)).alias("key"))
-        .select("key.block", "key.value", "fp")
-        .repartition(shuffle_partitions(codes.sparkSession), "block", "value")
-    )
+    n = shuffle_partitions(codes.sparkSession)
+    # a part is one task's at a time: its rows come sorted, so only one block value's codes are held
+    dealt = codes.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.block", "key.value", "fp")
+    dealt = dealt.repartition(PARTS * n, "block", "value").sortWithinPartitions("block", "value")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(np.asarray(c) for c in batch.columns) for batch in batches if len(batch)]
-        if not got:
-            return
-        block, value, fp = (np.concatenate(x) for x in zip(*got))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, value, block))
-        block, value, fp = block[order], value[order], fp[order]
-        firsts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (value[1:] != value[:-1])])
-        parent = trie_join(fp, firsts, errors)
-        linked = np.flatnonzero(parent != np.arange(len(parent)))
-        signed = fp.view(np.int64)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(signed[linked]), "b": pa.array(signed[parent[linked]])})
+        """Groups of one block value, many small ones at a time."""
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, limit = 0, HELD_ROWS
+
+        def done(upto: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, limit
+            block, value, fp = (np.concatenate(x) for x in zip(*held))
+            change = np.flatnonzero((block[1:] != block[:-1]) | (value[1:] != value[:-1])) + 1
+            cut = len(fp) if upto else (int(change[-1]) if len(change) else 0)
+            held, rows = [(block[cut:], value[cut:], fp[cut:])], len(fp) - cut
+            limit = max(HELD_ROWS, 2 * rows)
+            if cut:
+                own = fp[:cut].view(np.uint64)
+                group = np.zeros(cut, np.int64)
+                group[change[change < cut]] = 1
+                order = np.lexsort((own, np.cumsum(group)))
+                own = own[order]
+                firsts = np.r_[0, change[change < cut]]
+                parent = trie_join(own, firsts, errors)
+                linked = np.flatnonzero(parent != np.arange(cut))
+                signed = own.view(np.int64)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(signed[linked]), "b": pa.array(signed[parent[linked]])})
+
+        for batch in batches:
+            if len(batch):
+                held.append(tuple(np.asarray(c) for c in batch.columns))
+                rows += len(batch)
+                if rows >= limit:
+                    yield from done(False)
+        if rows:
+            yield from done(True)
 
     return dealt.mapInArrow(walk, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, errors: int = ERRORS, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp, component_id``: each row's fingerprint and the least doc_id that links reach."""
+    """``doc_id, text_hash, fp, root, component_id``: each row's fingerprint, its component, and the least doc_id that links reach."""
     prints = materialize(fingerprints(docs, width, seed), "prints")
     codes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "codes")
     roots = connected(links(codes.select("fp"), errors))
     owned = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     owned = materialize(owned, "owned")
     least = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_code = owned.join(least, "root").select("fp", "component_id")
-    return prints.join(by_code, "fp").select("doc_id", "fp", "component_id")
+    by_code = owned.join(least, "root").select("fp", "root", "component_id")
+    # many rows of one fingerprint meet few rows: broadcast where their number allows, and skewed partitions are cut by AQE beyond
+    return join_few(prints, materialize(by_code, "by-code"), "fp", "inner").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def first_rows(docs: DataFrame, errors: int = ERRORS, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """One row of each component: that with the least doc_id, then hash of the text; null doc_ids come after all others.
+
+    Of rows that agree in doc_id and text one stays, the least by the hash of
+    all its columns.
+    """
+    found = materialize(near_duplicates(docs.select("doc_id", "text"), errors, width, seed), "near-duplicates")
+    named = found.select("root", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), F.col("text_hash").alias("_hash"))
+    keepers = named.groupBy("root").agg(F.min(F.struct("_doc", "_hash")).alias("k")).select("k._doc", "k._hash")
+    keepers = materialize(keepers.join(named.groupBy("_doc", "_hash").agg((F.count(F.lit(1)) > 1).alias("_many")), ["_doc", "_hash"]), "keepers")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = row.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("row.text").alias("_hash"))
+    kept = join_few(keyed, keepers, ["_doc", "_hash"], "inner")
+    once = kept.where("_many").groupBy("_doc", "_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    both = kept.where("not _many").select("row").unionAll(once.select("row"))
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:
