@@ -8,7 +8,6 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, packing, quality, queries, simhash
 from tessera.llm.common import materialize
@@ -18,28 +17,42 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents below the base rules, or that lost too much text, go."""
+    """Failing lines go; documents below the base rules, or that lost too much text, go.
+
+    Null and empty texts have no words and go; equal rows are judged alike and
+    repeat; very long texts are judged whole; an empty table stays empty; other
+    columns, of any name, stay as they are.
+    """
     return quality.cleaned(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of equal or near lines the first stays; equal lines are found at any length."""
+    """Of each class of equal or near lines the first stays, by doc_id, hash of the text and place.
+
+    Equal lines are found at any length.  No row goes; a null text stays null
+    and a text may become empty; identical rows are cleaned alike; a null doc_id
+    comes last; an empty table stays empty; other columns, of any name, stay.
+    """
     return line_dedup.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near fingerprints the document with the least doc_id stays.
+    """Of each component of near fingerprints one row stays: the least doc_id, then the least hash of the text.
 
-    Rows without doc_id stay: nothing tells them apart.
+    That goes by row: repeated rows and rows that share an id are copies like
+    any other.  Null doc_ids come last.  Null and empty texts have one
+    fingerprint, so one of them stays.  An empty table stays empty; other
+    columns, of any name, stay.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id"))
-    stay = found.select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
-    return known.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return simhash.first_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequences."""
+    """Pieces of the documents with their sequences; a null text is empty and has its end id alone.
+
+    Long texts are cut; repeated rows and shared ids are packed row by row; an
+    empty table has no pieces; other columns are dropped.
+    """
     return packing.packed_documents(docs.select("doc_id", "text"), queries.BYTE_VOCABULARY)
 
 
