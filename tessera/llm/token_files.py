@@ -9,7 +9,8 @@ a doc_id range or for metadata alone skip the other pages.
 
 Null and empty texts have only the end id.  Null doc_ids come first.  Rows that
 share a doc_id follow each other in an order by text hash; identical rows are
-interchangeable.  An empty table gives an empty folder.
+interchangeable.  Very long texts are one row each.  An empty table gives an
+empty folder; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+#: A folder beside the buckets, which readers skip for its name: each bucket's greatest doc_id.
+BOUNDS = "_bounds"
 FILE_SCHEMA = "doc_id long, tie long, n_tokens long, ids array<int>, bucket int"
 
 
@@ -45,7 +48,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .withColumn("bucket", bucket_of("doc_id", bounds))
         .withColumn("tie", F.xxhash64("text"))
-        .repartition(shuffle_partitions(spark), "bucket")
+        .repartitionById(len(bounds), "bucket")  # a bucket is a task: hashing would deal several to one
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
     )
 
@@ -72,15 +75,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         .option("parquet.column.index.access", "true")
         .parquet(path)
     )
+    spark.createDataFrame(list(enumerate(bounds)), "bucket int, last long").coalesce(1).write.parquet(f"{path}/{BOUNDS}")
 
 
 def read_token_files(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """The files' rows; a doc_id range is pushed down to row groups and pages."""
+    """The files' rows; a doc_id range opens its buckets' folders only, and is pushed down to row groups and pages."""
     df = spark.read.schema(FILE_SCHEMA).parquet(path)
+    bounds = sorted(spark.read.parquet(f"{path}/{BOUNDS}").collect()) if first is not None or last is not None else []  # a row for each bucket
     if first is not None:
-        df = df.where(F.col("doc_id") >= first)
+        df = df.where((F.col("doc_id") >= first) & (F.col("bucket") >= next((r["bucket"] for r in bounds if r["last"] >= first), len(bounds))))
     if last is not None:
-        df = df.where(F.col("doc_id") <= last)
+        df = df.where((F.col("doc_id") <= last) & (F.col("bucket") <= next((r["bucket"] for r in bounds if r["last"] >= last), len(bounds))))
     return df
 
 
