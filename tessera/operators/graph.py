@@ -99,10 +99,22 @@ def path(frontier: DataFrame, index: DataFrame, *kinds: tuple[str, str]) -> Data
 
 
 def inverse_gaps(index: DataFrame) -> DataFrame:
-    """Index entries whose other end has no entry of the dual direction: none if the index is sound."""
-    dual = F.when(F.col("dir") == "forward", "inverse").when(F.col("dir") == "inverse", "forward").otherwise("both")
-    back = index.select(F.col("other").alias("position"), F.col("position").alias("other"), "rel", dual.alias("dir"), "edge_id").distinct()
-    return index.select("position", "other", "rel", "dir", "edge_id").distinct().join(back, ["position", "other", "rel", "dir", "edge_id"], "left_anti")
+    """Index entries whose other end has no entry of the dual direction: none if the index is sound.
+
+    Both ends of an edge meet in one aggregate by their unordered pair: each
+    side says which of the two it has.
+    """
+    low, high = F.least("position", "other"), F.greatest("position", "other")
+    inverse = F.col("dir") == "inverse"
+    # the edge as its forward side has it
+    subject, object_ = F.when(inverse, F.col("other")).otherwise(F.col("position")), F.when(inverse, F.col("position")).otherwise(F.col("other"))
+    both = F.col("dir") == "both"
+    keyed = index.select("rel", "edge_id", both.alias("even"), F.when(both, low).otherwise(subject).alias("x"), F.when(both, high).otherwise(object_).alias("y"), (inverse | (both & (F.col("position") > F.col("other")))).alias("back"))
+    sides = keyed.groupBy("rel", "edge_id", "even", "x", "y").agg(F.bool_or(~F.col("back")).alias("there"), F.bool_or("back").alias("again"))
+    alone = sides.where(~(F.col("there") & F.col("again")) & ~(F.col("even") & (F.col("x") == F.col("y"))))
+    position, other = F.when(F.col("there"), F.col("x")).otherwise(F.col("y")), F.when(F.col("there"), F.col("y")).otherwise(F.col("x"))
+    direction = F.when(F.col("even"), "both").when(F.col("there"), "forward").otherwise("inverse")
+    return alone.select(position.alias("position"), other.alias("other"), "rel", direction.alias("dir"), "edge_id")
 
 
 def rows_behind(rows: DataFrame) -> DataFrame:
@@ -151,9 +163,35 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     return reach
 
 
-def cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """Nodes that reach themselves, own parents among them."""
-    return closure(edges, depth).where("ancestor = descendant").select(F.col("ancestor").alias("node")).distinct()
+def _settled(df: DataFrame) -> DataFrame:
+    """Cut off the lineage of a round, where there is a folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """``node``: nodes on a cycle of edges ``parent, child``, or on a way from one cycle to another.
+
+    Edges from a node without parents or to one without children are taken away
+    until none is left, whatever the cycles' lengths; a graph without cycles
+    gives no rows.  The rounds are as many as the longest way outside.
+    """
+    left = _settled(edges.select("parent", "child").where("parent is not null and child is not null").distinct())
+    rows = left.count()
+    while rows:
+        kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        left = _settled(kept.join(kept.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
+        before, rows = rows, left.count()
+        if rows == before:
+            break
+    return left.select(F.col("parent").alias("node")).distinct()
+
+
+def forest_laws(edges: DataFrame) -> DataFrame:
+    """``law, node`` of edges ``parent, child`` that aren't a forest: repeated edges, several parents, cycles."""
+    law = lambda df, name, column: df.select(F.lit(name).alias("law"), F.col(column).alias("node"))
+    repeated = edges.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("child").distinct()
+    several = edges.groupBy("child").agg(F.count_distinct("parent").alias("n")).where("n > 1")
+    return law(repeated, "repeated", "child").unionByName(law(several, "parents", "child")).unionByName(law(cycles(edges), "cycle", "node"))
 
 
 def siblings(parents: DataFrame) -> DataFrame:
@@ -162,16 +200,16 @@ def siblings(parents: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.parent") == F.col("b.parent")) & (F.col("a.child") != F.col("b.child"))).select("a.child", F.col("b.child").alias("sibling")).distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
-    """``node, component``: the least node that edges ``a, b`` reach, by least labels with short cuts."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, component``: the least node that edges ``a, b`` reach, by least labels with short cuts, until none changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
         jump = least.select(F.col("node").alias("component"), F.col("component").alias("far"))
         new = least.join(jump, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "old")
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = _settled(new)
         label = new.select("node", "component")
         if new.where("component <> old").head() is None:
             break

@@ -29,20 +29,32 @@ def unknown(df: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame
     return df.join(known.select(F.col(key).alias(column)), column, "left_anti")
 
 
+#: Years of a cell of eras.
+CELL = 100
+
+
 def era_gaps(eras: DataFrame, first: int, last: int) -> DataFrame:
     """``era, problem``: each era starts in the year after the last one's end, the first and last at the span's ends.
 
-    ``eras``: era, from_year, to_year; few rows by nature.
+    ``eras``: era, from_year, to_year.  Neighbours are found within cells of
+    years; a cell's first era follows the last one of the cells before, of
+    which there is a row for each cell.
     """
-    w = Window.orderBy("from_year", "era")
-    marked = eras.withColumns({"prev": F.lag("to_year").over(w), "next": F.lead("from_year").over(w)})
+    order = F.struct("from_year", "era")
+    celled = eras.withColumn("cell", F.floor(F.col("from_year") / CELL))
+    ends = celled.groupBy("cell").agg(F.max_by("to_year", order).alias("end"))
+    over = Window.orderBy("cell")  # a row for each cell
+    ends = ends.withColumns({"before": F.lag("end").over(over), "final": F.lead("cell").over(over).isNull()}).drop("end")
+    w = Window.partitionBy("cell").orderBy("from_year", "era")
+    marked = celled.withColumns({"prev": F.lag("to_year").over(w), "next": F.lead("from_year").over(w)}).join(ends, "cell")
+    marked = marked.withColumn("prev", F.coalesce("prev", "before"))
     due = timeline.next_year(F.col("prev"))
     problem = (
         F.when(~timeline.valid_range(F.col("from_year"), F.col("to_year")), "range")
         .when(F.col("prev").isNull() & (F.col("from_year") != first), "start")
         .when(F.col("from_year") > due, "gap")
         .when(F.col("from_year") < due, "overlap")
-        .when(F.col("next").isNull() & (F.col("to_year") != last), "end")
+        .when(F.col("next").isNull() & F.col("final") & (F.col("to_year") != last), "end")
     )
     return marked.select("era", problem.alias("problem")).where("problem is not null")
 

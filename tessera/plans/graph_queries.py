@@ -135,12 +135,26 @@ def acyclic_closure(spark, sf_dir):
     return graph.closure(chain, 8)
 
 
-@query("""SELECT DISTINCT x AS node FROM (SELECT event_id AS x, event_id - event_id % 5 AS base FROM events WHERE event_id % 20 < 5)
-WHERE base + 4 IN (SELECT event_id FROM events)""")
+_RINGS = "SELECT event_id AS parent, CASE WHEN event_id % 100 = 99 THEN event_id - 99 ELSE event_id + 1 END AS child FROM events"
+
+
+@query(f"""WITH e AS ({_RINGS}) SELECT parent AS node FROM e WHERE parent // 100 IN (SELECT parent // 100 FROM e GROUP BY 1 HAVING count(*) = 100)""")
 def cycle_nodes(spark, sf_dir):
-    ring = table(spark, sf_dir, "events").where("event_id % 20 < 5")
-    base = F.col("event_id") - F.col("event_id") % 5
-    return graph.cycles(ring.select(F.col("event_id").alias("parent"), (base + (F.col("event_id") + 1) % 5).alias("child")), 8)
+    """All events in rings of a hundred; a last, shorter run is a chain."""
+    event = F.col("event_id")
+    ring = table(spark, sf_dir, "events").select(event.alias("parent"), F.when(event % 100 == 99, event - 99).otherwise(event + 1).alias("child"))
+    return graph.cycles(ring)
+
+
+_LINES = "SELECT l_suppkey % 20 AS parent, 1000 + l_partkey % 60 AS child FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 1000 + n_nationkey, 1000 + (n_nationkey + 1) % 25 FROM nation"
+
+
+@query(f"""WITH e AS ({_LINES}) SELECT 'repeated' AS law, child AS node FROM (SELECT DISTINCT child FROM (SELECT parent, child FROM e GROUP BY 1, 2 HAVING count(*) > 1))
+UNION ALL SELECT 'parents', child FROM e GROUP BY child HAVING count(DISTINCT parent) > 1 UNION ALL SELECT 'cycle', 1000 + n_nationkey FROM nation""")
+def forest_laws(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 20).alias("parent"), (1000 + F.col("l_partkey") % 60).alias("child"))
+    ring = table(spark, sf_dir, "nation").select((1000 + F.col("n_nationkey")).cast("long").alias("parent"), (1000 + (F.col("n_nationkey") + 1) % 25).cast("long").alias("child"))
+    return graph.forest_laws(lines.unionByName(ring))
 
 
 @query("""SELECT 'nation-' || a.n_nationkey AS child, 'nation-' || b.n_nationkey AS sibling FROM nation a JOIN nation b

@@ -110,11 +110,11 @@ def tokenize_counts(spark, sf_dir):
 
 
 @query("""SELECT doc_id, ord, token FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS ord FROM (
-SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[’''–-][\\p{L}\\p{N}]+)*') AS t FROM documents)) WHERE ord % 50 = 0""".replace("generate_subscripts(t, 1) - 1 AS ord", "CAST(generate_subscripts(t, 1) - 1 AS INT) AS ord"))
+SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[’''–-][\\p{L}\\p{N}]+)*') AS t FROM documents))""".replace("generate_subscripts(t, 1) - 1 AS ord", "CAST(generate_subscripts(t, 1) - 1 AS INT) AS ord"))
 def token_places(spark, sf_dir):
-    """Every fiftieth token, cut from the text by its span."""
+    """Every token, cut from the text by its span."""
     spans = text.token_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    each = spans.select("doc_id", "text", F.explode("tokens").alias("t")).where("t.ord % 50 = 0")
+    each = spans.select("doc_id", "text", F.explode("tokens").alias("t"))
     return each.select("doc_id", "t.ord", F.substring("text", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")).alias("token"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import tomllib
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,19 +69,21 @@ def editions(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- cross references
 
 def cross_references(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows ``from, to, to_last, votes, rank`` (rank by votes within a source), and counts of what was dropped.
+    """Rows ``from, to, to_last, votes, rank`` (rank by votes, then by line, within a source), and counts of what was dropped.
 
-    Lines that don't parse and verses that cite themselves alone go.
+    Lines that don't parse or haven't three fields, and verses that cite themselves alone, go.
     """
-    raw = spark.read.schema("source string, target string, votes string").csv(path, sep="\t", header=True, comment="#")
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    fields = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.lower("value").startswith("from")).select("line", F.split("value", "\t").alias("f"))
+    raw = fields.select("line", (F.size("f") == 3).alias("three"), F.get("f", 0).alias("source"), F.get("f", 1).alias("target"), F.trim(F.get("f", 2)).alias("votes"))
     first, last = F.split_part("target", F.lit("-"), F.lit(1)), F.split_part("target", F.lit("-"), F.lit(2))
-    parsed = raw.select(osis(F.col("source")).alias("from"), osis(first).alias("to"), F.when(last != "", osis(last)).alias("to_last"), F.col("votes").try_cast("int").alias("votes"), (last == "").alias("single"))
-    bad = F.col("from").isNull() | F.col("to").isNull() | F.col("votes").isNull() | (~F.col("single") & F.col("to_last").isNull())
+    parsed = raw.select("line", "three", osis(F.col("source")).alias("from"), osis(first).alias("to"), F.when(last != "", osis(last)).alias("to_last"), F.col("votes").try_cast("int").alias("votes"), (last == "").alias("single"))
+    bad = ~F.col("three") | F.col("from").isNull() | F.col("to").isNull() | F.col("votes").isNull() | (~F.col("single") & F.col("to_last").isNull())
     own = F.coalesce(F.col("single") & (F.col("from") == F.col("to")), F.lit(False))
     counts = parsed.agg(F.count_if(bad).alias("unparseable"), F.count_if(~bad & own).alias("self_references"), F.count_if(~bad & ~own).alias("kept"))
-    kept = parsed.where(~bad & ~own).drop("single")
-    rank = F.row_number().over(Window.partitionBy("from").orderBy(F.desc("votes"), "to", "to_last"))
-    return kept.withColumn("rank", rank), counts
+    kept = parsed.where(~bad & ~own).drop("single", "three")
+    rank = F.row_number().over(Window.partitionBy("from").orderBy(F.desc("votes"), "line"))
+    return kept.withColumn("rank", rank).drop("line"), counts
 
 
 def with_known_targets(references: DataFrame, verses: DataFrame) -> DataFrame:
@@ -93,8 +96,10 @@ def with_known_targets(references: DataFrame, verses: DataFrame) -> DataFrame:
 
 _GEO = (
     "friendly_id string, identifications array<struct<resolutions:array<struct<lonlat:string,modern_basis_id:string>>>>, "
-    "modern_associations map<string,struct<name:string,score:int,url_slug:string>>, verses array<struct<osis:string>>"
+    "modern_associations map<string,struct<name:string,score:int,url_slug:string>>, verses array<struct<osis:string,translations:array<string>>>"
 )
+#: A verse counts for a place where this translation names it.
+TRANSLATION = "kjv"
 
 
 def places_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -107,7 +112,8 @@ def places_jsonl(spark: SparkSession, path: str) -> DataFrame:
     score = F.coalesce(F.col("modern_associations")[F.col("r.modern_basis_id")]["score"], F.lit(0))
     best = spots.where(F.col("r.lonlat").isNotNull()).groupBy("line").agg(F.max_by("r.lonlat", F.struct(score.alias("s"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("lonlat"))
     part = lambda k: F.split_part("lonlat", F.lit(","), F.lit(k)).try_cast("double")
-    verses = F.array_distinct(F.filter(F.transform(F.coalesce("verses", F.array()), lambda v: dot_ref(osis(v["osis"]))), lambda v: v.isNotNull() & (v != "")))
+    named_there = F.filter(F.coalesce("verses", F.array()), lambda v: F.coalesce(F.array_contains(v["translations"], TRANSLATION), F.lit(False)))
+    verses = F.array_distinct(F.filter(F.transform(named_there, lambda v: dot_ref(osis(v["osis"]))), lambda v: v.isNotNull() & (v != "")))
     named = lines.join(best, "line").select("line", F.col("friendly_id").alias("name"), part(2).alias("lat"), part(1).alias("lon"), verses.alias("verses"), text.slug(F.col("friendly_id")).alias("slug"))
     return suffixed(named, "slug", ["line"]).select("id", "name", "lat", "lon", "verses", "line")
 
@@ -231,7 +237,7 @@ _KEY = re.compile(r'(\w+)="([^"]*)"')
 def quoted_speech(xml: str, who: str = "Jesus") -> list[tuple[int, int, int, str]]:
     """``book, chapter, verse, fragment`` of a speaker's words between milestones; a cut-off tail stops the scan."""
     codes = {short: i for i, (_, short, _) in enumerate(refs.BOOKS)}
-    at, speaking, parts, out = None, False, [], []
+    at, open_id, parts, out = None, None, [], []  # open_id: the milestone whose end closes the speech
 
     def close() -> None:
         if at and parts:
@@ -241,8 +247,8 @@ def quoted_speech(xml: str, who: str = "Jesus") -> list[tuple[int, int, int, str
     for m in _MARK.finditer(xml):
         ends, tag, attrs, _, body = m.groups()
         if body is not None:
-            if at and speaking:
-                parts.append(body)
+            if at and open_id is not None:
+                parts.append(unescape(body))
             continue
         keys = dict(_KEY.findall(attrs or ""))
         if tag == "verse":
@@ -253,9 +259,12 @@ def quoted_speech(xml: str, who: str = "Jesus") -> list[tuple[int, int, int, str
                 chapter, _, verse = rest.partition(".")
                 if book in codes and chapter.isdigit() and verse.isdigit():
                     at = (codes[book], int(chapter), int(verse))
-        elif tag == "q" and (keys.get("who") == who or ends or "eID" in keys):
+        elif tag == "q" and keys.get("who") == who and "sID" in keys:
             close()
-            speaking = keys.get("who") == who and not ends and "eID" not in keys
+            open_id = keys["sID"]
+        elif tag == "q" and open_id is not None and keys.get("eID") == open_id:  # another speaker's end closes nothing
+            close()
+            open_id = None
     close()
     return out
 

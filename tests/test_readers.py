@@ -36,7 +36,7 @@ def test_cross_references(spark, tmp_path):
 def test_places(spark, tmp_path):
     spot = lambda ll, b: {"resolutions": [{"lonlat": ll, "modern_basis_id": b}]}
     lines = [
-        {"friendly_id": "Aphek", "identifications": [spot("35.0,32.0", "m1"), spot("34.9,32.1", "m2")], "modern_associations": {"m1": {"name": "x", "score": 10}, "m2": {"name": "y", "score": 50}}, "verses": [{"osis": "Josh.12.18"}, {"osis": "Josh.12.18"}, {"osis": "Bad.1.1"}]},
+        {"friendly_id": "Aphek", "identifications": [spot("35.0,32.0", "m1"), spot("34.9,32.1", "m2")], "modern_associations": {"m1": {"name": "x", "score": 10}, "m2": {"name": "y", "score": 50}}, "verses": [{"osis": "Josh.12.18", "translations": ["esv", "kjv"]}, {"osis": "Josh.12.18", "translations": ["kjv"]}, {"osis": "Gen.1.1", "translations": ["esv"]}, {"osis": "Gen.1.2"}, {"osis": "Bad.1.1", "translations": ["kjv"]}]},
         {"friendly_id": "Aphek", "identifications": [spot("36.0,33.0", "m3")], "modern_associations": {}, "verses": []},
         {"friendly_id": "Nowhere", "identifications": [], "modern_associations": {}, "verses": []},
     ]
@@ -82,8 +82,10 @@ def test_lexicon(spark, tmp_path):
 
 
 def test_speech():
-    xml = '<osis><verse osisID="John.1.38" sID="John.1.38"/>Then <q who="Jesus" sID="q1"/>What seek <i>ye</i>?<q eID="q1"/> They<verse eID="John.1.38"/><verse sID="Nope.1.1"/>x<verse eID="Nope.1.1"/><verse sID="John.1.39"/><q who="Jesus">Come</q> and <q who="Peter">no</q>'
-    assert readers.quoted_speech(xml) == [(42, 1, 38, "What seek ye?"), (42, 1, 39, "Come")]
+    xml = '<osis><verse osisID="John.1.38" sID="John.1.38"/>Then <q who="Jesus" sID="q1"/>What seek <i>ye</i>?<q eID="q1"/> They<verse eID="John.1.38"/><verse sID="Nope.1.1"/>x<verse eID="Nope.1.1"/><verse sID="John.1.39"/><q who="Jesus" sID="q2"/>Come &amp; see<q eID="q2"/> and <q who="Peter" sID="q3"/>no<q eID="q3"/>'
+    assert readers.quoted_speech(xml) == [(42, 1, 38, "What seek ye?"), (42, 1, 39, "Come & see")]
+    nested = '<verse sID="Matt.5.3"/><q who="Jesus" sID="q1"/>Blessed <q who="other" sID="z"/>are<q eID="z"/> you<q eID="q1"/> end'
+    assert readers.quoted_speech(nested) == [(39, 5, 3, "Blessed are you")]
 
 
 def test_numbered_html():
