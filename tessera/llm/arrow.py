@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that a step holds at once; a single longer document goes alone.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

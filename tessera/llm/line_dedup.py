@@ -54,7 +54,7 @@ MIN_CHARS = 20
 #: More lines than this with one key are a crowd.
 CROWD = 16
 #: Windows into which a crowd's lines are cut.
-WINDOWS = 4
+WINDOWS = 6
 _LAST = (1 << 63) - 1
 _SIGN = -(1 << 63)
 
@@ -143,17 +143,21 @@ def _mark(own: Column) -> Column:
     return F.when(own, F.col("id").bitwiseOR(F.lit(_SIGN))).otherwise(F.col("id").bitwiseAND(F.lit(_LAST)))
 
 
-def _shared_keys(rows: DataFrame, most: int) -> DataFrame:
-    """Keys that an indexed line has as its own and another line has too.
+def _ordered(errors: int) -> list[tuple[int, int, int]]:
+    """The probes, own segments first."""
+    return sorted(probes(errors), key=lambda p: p[2] != 0)
 
-    Two numbers a key, combined before the shuffle.
-    """
 
-    def keys(e: int) -> Column:
-        return F.array(*[_key(e, k, r, s) for k, r, s in sorted(probes(e), key=lambda p: p[2] != 0)])  # own segments first
+def _exploded(rows: DataFrame, most: int, *kept: str) -> DataFrame:
+    """``key, mark, at`` and kept columns for every segment and probe of every row."""
+    keys = _by_errors(most, lambda e: F.array(*[_key(e, k, r, s) for k, r, s in _ordered(e)]))
+    exploded = _segmented(rows).select("id", "own", "errors", *kept, F.posexplode(keys).alias("at", "key"))
+    return exploded.select("key", _mark(F.col("own") & (F.col("at") <= F.col("errors"))).alias("mark"), "id", "at", "errors", *kept)
+
 
-    exploded = _segmented(rows).select("id", "own", "errors", F.posexplode(_by_errors(most, keys)).alias("at", "key"))
-    return _met_keys(exploded.select("key", _mark(F.col("own") & (F.col("at") <= F.col("errors"))).alias("mark")))
+def _shared_keys(rows: DataFrame, most: int) -> DataFrame:
+    """Keys that an indexed line has as its own and another line has too: two numbers a key, combined before the shuffle."""
+    return _met_keys(_exploded(rows, most).select("key", "mark"))
 
 
 def _met_keys(marked: DataFrame) -> DataFrame:
@@ -163,15 +167,10 @@ def _met_keys(marked: DataFrame) -> DataFrame:
 
 def _members(rows: DataFrame, most: int, shared: DataFrame) -> DataFrame:
     """``key, id, mark, start, seg, chars, base, errors``: the rows with a shared key."""
-
-    def keys(e: int) -> Column:
-        return F.array(*[F.struct(_key(e, k, r, s).alias("key"), _start(k, r, s, (e + 2) // 2).alias("start"), F.lit(not s).alias("mine")) for k, r, s in probes(e)])
-
-    kept = ["id", "chars", "base", "errors", "seg"]
-    exploded = _segmented(rows).select(*kept, "own", F.explode(_by_errors(most, keys)).alias("k"))
-    marked = exploded.select("k.key", _mark(F.col("own") & F.col("k.mine")).alias("mark"), F.col("k.start").alias("start"), *kept)
+    met = join_few(_exploded(rows, most, "chars", "base", "seg"), shared, "key", "left_semi")
+    start = _by_errors(most, lambda e: F.element_at(F.array(*[_start(k, r, s, (e + 2) // 2) for k, r, s in _ordered(e)]), F.col("at") + 1))
     # a hot line has its keys in every document that has it: combined before the shuffle
-    return materialize(join_few(marked, shared, "key", "left_semi").dropDuplicates(["key", "mark", "start"]), "members")
+    return materialize(met.withColumn("start", start).drop("at").dropDuplicates(["key", "mark", "start"]), "members")
 
 
 # ---------------------------------------------------------------- verification
