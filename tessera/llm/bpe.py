@@ -22,7 +22,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words that an encoder remembers; a full cache starts afresh, so memory is bounded.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: Longer words aren't remembered.
 CACHE_WORD_CHARS = 64
 
