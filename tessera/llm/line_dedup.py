@@ -47,8 +47,8 @@ from tessera.llm.common import join_few, let, materialize
 from tessera.llm.components import connected
 
 #: Characters of the shorter line for each edit; also the width of a class of lengths.
-RATE = 64
-MOST = 2
+RATE = 32
+MOST = 4
 #: Shorter lines are compared for equality only.
 MIN_CHARS = 20
 #: More lines than this with one key are a crowd.

@@ -24,7 +24,7 @@ def distance(a, b):
     return row[-1]
 
 
-def linked(a, b, rate=64, most=2, floor=20):
+def linked(a, b, rate=32, most=4, floor=20):
     short = min(len(a), len(b))
     edits = min(most, max(1, short // rate))
     return short >= floor and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
@@ -111,7 +111,7 @@ def dense_lines():
     return sorted(lines)
 
 
-@pytest.mark.parametrize("crowd, rate, most", [(8, 64, 2), (12, 24, 3), (8, 10_000, 1)])
+@pytest.mark.parametrize("crowd, rate, most", [(8, 64, 2), (12, 24, 3), (8, 10_000, 1), (8, 32, 4)])
 def test_crowds_are_split_without_losing_a_class(spark, monkeypatch, crowd, rate, most):
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
     lines = dense_lines()
