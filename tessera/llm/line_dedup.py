@@ -313,11 +313,12 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
             rows, ends = materialize(_cut(known.join(texts.select("id", "line"), "id")), "cut"), None
         else:
             # lines with nothing left to cut: those of one length are linked by now, the longer ones are tried
-            last, rows = known.where("base <= errors"), _windowed(known.where("base > errors"), most)
+            last, rows = known.where("base <= errors"), _windowed(_spread(known.where("base > errors")), most)
             index = last.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
             tried = index.join(last.where("mark >= 0").select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key")
             ends = tried.where("cx <> cy").select(*pair("x", "y"))
-        members = materialize(join_few(rows, _met_keys(rows.select("key", "mark")), "key", "left_semi").dropDuplicates(["key", "mark", "line"]), "members")
+        met = join_few(rows, _met_keys(rows.select("key", "mark")), "key", "left_semi")
+        members = materialize((_rests(met, most) if "stop" in met.columns else met).dropDuplicates(["key", "mark", "line"]), "members")
     return links.select("na", "nb"), texts
 
 
@@ -349,8 +350,13 @@ def dirty_windows(errors: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     return out
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows over all tasks: a small table with many keys a row would be read by one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "key")
+
+
 def _windowed(rows: DataFrame, most: int) -> DataFrame:
-    """``key, id, mark, comp, errors, base, chars, line``: what all edits leave of a line, as key, and the rest of the line.
+    """``key, id, mark, comp, errors, chars, delta, line, stop, start``: what all edits leave of a line, as key, and where its parts end and begin.
 
     The indexed line is cut into ``WINDOWS`` windows, at most ``errors`` of them
     with edits; the parts before, between and after are the same in a linked
@@ -359,7 +365,7 @@ def _windowed(rows: DataFrame, most: int) -> DataFrame:
     delta = F.col("chars") - F.col("base")
 
     def choices(e: int) -> Column:
-        return F.array(*[F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, t)).alias("t"), F.array(*map(F.lit, s)).alias("s")) for n, (t, s) in enumerate(dirty_windows(e))])
+        return F.array(*[F.struct(F.array(*map(F.lit, t)).alias("t"), F.array(*map(F.lit, s)).alias("s")) for t, s in dirty_windows(e)])
 
     def parts(e: int) -> Column:
         edge = lambda w: F.floor(F.col("base") * w / WINDOWS).cast("int")
@@ -369,16 +375,23 @@ def _windowed(rows: DataFrame, most: int) -> DataFrame:
             stop = [edge(F.get(c["t"], k)) + shift[k] for k in range(e)] + [F.col("chars")]
             start = [F.lit(0)] + [edge(F.get(c["t"], k - 1) + 1) + shift[k] for k in range(1, e + 1)]
             fits = reduce(lambda a, b: a & b, [(start[k] >= stop[k - 1]) for k in range(1, e + 1)] + [(F.abs(shift[k] - delta) <= e - k) | (start[k] >= stop[k]) for k in range(1, e)], F.lit(True))
-            key = F.xxhash64("key", F.array_join(c["t"], ","), *[F.substring(F.col("line"), start[k] + 1, F.greatest(F.lit(0), stop[k] - start[k])) for k in range(e + 1)])
-            rest = F.concat(*[F.substring(F.col("line"), stop[k] + 1, start[k + 1] - stop[k]) for k in range(e)])
             mine = (F.col("mark") < 0) & F.forall(c["s"], lambda x: x == 0)
-            return F.when(fits, F.struct(key.alias("key"), rest.alias("line"), mine.alias("mine")))
+            return F.when(fits, F.struct(c["t"].alias("t"), F.array(*stop).alias("stop"), F.array(*start).alias("start"), mine.alias("mine")))
 
         return F.transform(choices(e), one)
 
-    exploded = rows.select("id", "comp", "errors", delta.alias("delta"), F.explode(_by_errors(most, parts)).alias("k")).where("k is not null")
-    chars = F.char_length("k.line")
-    return exploded.select("k.key", "id", _mark(F.col("k.mine")).alias("mark"), "comp", "errors", (chars - F.col("delta")).cast("int").alias("base"), chars.alias("chars"), "k.line")
+    exploded = rows.select("key", "id", "comp", "errors", "mark", "chars", delta.alias("delta"), "line", F.explode(_by_errors(most, parts)).alias("k")).where("k is not null")
+    piece = lambda k: F.substring(F.col("line"), F.get("k.start", F.lit(k)) + 1, F.greatest(F.lit(0), F.get("k.stop", F.lit(k)) - F.get("k.start", F.lit(k))))
+    key = _by_errors(most, lambda e: F.xxhash64("key", F.array_join("k.t", ","), *[piece(k) for k in range(e + 1)]))
+    return exploded.select(key.alias("key"), "id", _mark(F.col("k.mine")).alias("mark"), "comp", "errors", "chars", "delta", "line", "k.stop", "k.start")
+
+
+def _rests(rows: DataFrame, most: int) -> DataFrame:
+    """``key, id, mark, comp, errors, base, chars, line``: windowed lines without the parts that are in their key."""
+    gap = lambda k: F.substring(F.col("line"), F.get("stop", F.lit(k)) + 1, F.get("start", F.lit(k + 1)) - F.get("stop", F.lit(k)))
+    left = rows.withColumn("line", _by_errors(most, lambda e: F.concat(*[gap(k) for k in range(e)])))
+    chars = F.char_length("line")
+    return left.select("key", "id", "mark", "comp", "errors", (chars - F.col("delta")).cast("int").alias("base"), chars.alias("chars"), "line")
 
 
 # ---------------------------------------------------------------- classes and documents
