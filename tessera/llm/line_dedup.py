@@ -16,13 +16,21 @@ enough.  Keys that two lines share are found by an aggregate of two numbers
 with map-side combine, and only lines with such a key are read again.
 Candidates are verified on whole lines by banded bit-parallel edit distance.
 
-Crowds.  A key that more than ``CROWD`` lines share makes no pairs of them.  All
-its lines are verified against one of them; a crowd whose lines are then in one
-class is done.  Otherwise its lines meet by exact length too, the shared segment
+Sketches.  A line's sketch has two bits for each of ``LETTERS`` characters: how
+often the line has it, modulo 4, in Gray code.  An edit moves two counts by one
+at most and a step of a count flips one bit, so linked lines' sketches differ in
+2 e bits at most.  Lines that share a key make a pair only then; which
+characters are counted decides how many pairs are verified, never which lines
+are linked.
+
+Crowds.  A key that more than ``CROWD`` lines share makes no pairs of them at
+first.  All its lines are verified against one of them; a crowd whose lines are
+then in one class is done.  Up to ``PAIRED`` lines, those of different classes
+then make pairs by their sketches.  In larger crowds lines meet by exact length too, the shared segment
 is cut out, and where that leaves a crowd the rest is cut into ``WINDOWS`` windows: e edits lie in e of them at most, so linked lines
 share all of the rest but those windows, a longer key.  Windows are cut again
-while there are crowds with lines of two classes.  Only the plan depends on
-``CROWD``: classes are those of all linked pairs.
+while there are such crowds with lines of two classes.  Only the plan depends on
+``CROWD`` and ``PAIRED``: classes are those of all linked pairs.
 
 Links join lines into classes; of a class the first line stays, by doc_id, then
 hash of the text, then place.  ``n_links`` counts the other different lines of
@@ -53,6 +61,10 @@ MOST = 4
 MIN_CHARS = 20
 #: More lines than this with one key are a crowd.
 CROWD = 16
+#: Lines of a crowd that are compared by their sketches; a larger crowd is cut.
+PAIRED = 2000
+#: Characters that a sketch counts, two bits each.
+LETTERS = 20
 #: Windows into which a crowd's lines are cut.
 WINDOWS = 6
 _LAST = (1 << 63) - 1
@@ -274,6 +286,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, rate: int, most: int, min_char
     return materialize(met.where(edit_distance(F.col("x"), F.col("y"), most) <= F.col("errors")).select("a", "b", "na", "nb"), "edit-links")
 
 
+# ---------------------------------------------------------------- sketches
+
+def _letters(texts: DataFrame) -> list[str]:
+    """Frequent characters of some lines; any others would do, with more pairs to verify."""
+    chars = texts.select(F.substring("line", 1, 400).alias("line")).limit(500).select(F.explode(F.split("line", "")).alias("c"))
+    rows = chars.where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
+    return [r["c"] for r in rows]
+
+
+def sketch(line: Column, letters: list[str]) -> Column:
+    """Two bits for each letter: its count modulo 4 in Gray code, so that one more or less flips one bit."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(letters):
+        count = F.floor((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) / len(c.encode())).cast("long").bitwiseAND(F.lit(3).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)), 2 * k))
+    return out
+
+
+def _alike(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * F.col("errors")
+
+
 # ---------------------------------------------------------------- the join
 
 def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -289,16 +323,23 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
     texts = materialize(told.select("id", node.alias("node"), "line", F.char_length("line").alias("chars"), "first", "n"), "texts")
     verified = lambda pairs: _verified(materialize(pairs.distinct(), "pairs"), texts, rate, most, min_chars)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    members, links, ends = members.withColumn("comp", F.col("id")), None, None
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        """Pairs of lines of different classes with a key, near lengths and near sketches."""
+        index = rows.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("chars").alias("lx"), F.col("sketch").alias("sx"))
+        other = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), F.col("sketch").alias("sy"), "errors")
+        near = F.expr("x <> y and cx <> cy and abs(lx - ly) <= errors") & _alike("sx", "sy")
+        return index.join(other, (index["key"] == other["key"]) & near).select(*pair("x", "y"))
+
+    sketches = texts.select("id", sketch(F.col("line"), _letters(texts)).alias("sketch"))
+    members, links, ends = materialize(members.join(sketches, "id"), "sketched").withColumn("comp", F.col("id")), None, None
     while True:
-        rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp"))).alias("rep")
+        rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp", "sketch"))).alias("rep")
         crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), rep).where(F.col("rows") > CROWD)
-        crowds = materialize(crowds.select("key", "rep"), "crowds")
+        crowds = materialize(crowds, "crowds")
         small, crowded = join_few(members, crowds.select("key"), "key", "left_anti"), join_few(members, crowds, "key", "inner")
-        index = small.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("chars").alias("lx"))
-        other = small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), "errors")
-        near = index.join(other, "key").where("x <> y and cx <> cy and abs(lx - ly) <= errors").select(*pair("x", "y"))
-        star = crowded.where("id <> rep.id and comp <> rep.comp").select(*pair("id", "rep.id"))
+        star = crowded.where(F.expr("id <> rep.id and comp <> rep.comp") & _alike("sketch", "rep.sketch")).select(*pair("id", "rep.id"))
+        near = meeting(small)
         found = verified(near.unionAll(star) if ends is None else near.unionAll(star).unionAll(ends))
         links = found if links is None else links.unionAll(found)
         if crowds.head() is None:
@@ -307,6 +348,10 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
         known = crowded.drop("rep").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
         parted = known.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
         known = materialize(join_few(known, materialize(parted, "parted"), "key", "left_semi"), "parted-crowds")
+        if known.head() is None:
+            break
+        links = links.unionAll(verified(meeting(known.where(F.col("rows") <= PAIRED))))
+        known = known.where(F.col("rows") > PAIRED).drop("rows")
         if known.head() is None:
             break
         if "start" in known.columns:
@@ -333,7 +378,7 @@ def _cut(crowded: DataFrame) -> DataFrame:
     deltas = F.sequence(F.lit(0), F.least("errors", F.col("chars") - F.col("least")))
     rows = left.where("chars >= least").withColumn("delta", F.explode(deltas)).withColumn("base", (F.col("chars") - F.col("delta")).cast("int"))
     mark = _mark((F.col("mark") < 0) & (F.col("delta") == 0))
-    return rows.select(F.xxhash64("key", "base").alias("key"), "id", mark.alias("mark"), "comp", "errors", "base", "chars", "line")
+    return rows.select(F.xxhash64("key", "base").alias("key"), "id", mark.alias("mark"), "comp", "sketch", "errors", "base", "chars", "line")
 
 
 def dirty_windows(errors: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
@@ -350,7 +395,7 @@ def dirty_windows(errors: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
 
 
 def _windowed(rows: DataFrame, most: int) -> DataFrame:
-    """``key, id, mark, comp, errors, base, chars, line``: what all edits leave of a line, as key, and the rest of the line.
+    """``key, id, mark, comp, sketch, errors, base, chars, line``: what all edits leave of a line, as key, and the rest of the line.
 
     The indexed line is cut into ``WINDOWS`` windows, at most ``errors`` of them
     with edits; the parts before, between and after are the same in a linked
@@ -376,9 +421,9 @@ def _windowed(rows: DataFrame, most: int) -> DataFrame:
 
         return F.transform(choices(e), one)
 
-    exploded = rows.select("id", "comp", "errors", delta.alias("delta"), F.explode(_by_errors(most, parts)).alias("k")).where("k is not null")
+    exploded = rows.select("id", "comp", "sketch", "errors", delta.alias("delta"), F.explode(_by_errors(most, parts)).alias("k")).where("k is not null")
     chars = F.char_length("k.line")
-    return exploded.select("k.key", "id", _mark(F.col("k.mine")).alias("mark"), "comp", "errors", (chars - F.col("delta")).cast("int").alias("base"), chars.alias("chars"), "k.line")
+    return exploded.select("k.key", "id", _mark(F.col("k.mine")).alias("mark"), "comp", "sketch", "errors", (chars - F.col("delta")).cast("int").alias("base"), chars.alias("chars"), "k.line")
 
 
 # ---------------------------------------------------------------- classes and documents

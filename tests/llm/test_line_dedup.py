@@ -121,6 +121,57 @@ def test_crowds_are_split_without_losing_a_class(spark, monkeypatch, crowd, rate
     assert joined(lines, got) == joined(lines, want)
 
 
+@pytest.mark.parametrize("paired", [0, 24, 2000])
+def test_crowds_pair_by_sketches_or_are_cut(spark, monkeypatch, paired):
+    """Classes are the same whether a crowd's lines are compared by their sketches or cut into windows."""
+    monkeypatch.setattr(line_dedup, "CROWD", 8)
+    monkeypatch.setattr(line_dedup, "PAIRED", paired)
+    lines = dense_lines()
+    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if linked(a, b, 32, 4)}
+    got = spanned(spark, lines, rate=32, most=4)
+    assert got < want
+    assert joined(lines, got) == joined(lines, want)
+
+
+def test_sketches_of_linked_lines_differ_in_two_bits_an_edit(spark):
+    rng = random.Random(11)
+    pairs = []
+    for k in range(300):
+        x = "".join(rng.choice("abcñ😀 ") for _ in range(rng.randint(1, 60)))
+        pairs.append((x, mutated(rng, x, k % 5)))
+    sides = [line_dedup.sketch(F.col(c), list("abñ😀 ")) for c in "xy"]
+    found = spark.createDataFrame(pairs, "x string, y string").select(F.bit_count(sides[0].bitwiseXOR(sides[1])).alias("bits"), sides[0].alias("s")).collect()
+    assert all(r["bits"] <= 2 * distance(x, y) for (x, y), r in zip(pairs, found))
+    gray = [0, 1, 3, 2]
+    assert all(r["s"] == sum(gray[x.count(c) % 4] << 2 * k for k, c in enumerate("abñ😀 ")) for (x, _), r in zip(pairs, found))
+
+
+def test_a_crowd_of_unlinked_copies_makes_no_windows(spark, monkeypatch):
+    """Near copies beyond four edits are told apart by their sketches: nothing is cut, and few pairs are verified."""
+    rng = random.Random(12)
+    base = fixtures.words(rng, 80).split(" ")
+    lines = []
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.sample(range(20, 80), 6):
+            copy[at] = fixtures.words(rng, 1)
+        lines.append(" ".join(copy))
+    lines = sorted({*lines, *(mutated(rng, x, 3) for x in lines[:10])})
+    sizes, plain = [], line_dedup.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    got = spanned(spark, lines)
+    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if linked(a, b, line_dedup.RATE, line_dedup.MOST)}
+    assert joined(lines, got) == joined(lines, want) and want
+    assert not [x for x in sizes if x[0] == "cut"]
+    assert sum(n for name, n in sizes if name == "pairs") < len(lines) * 4
+
+
 def test_lines_of_very_few_letters(spark, monkeypatch):
     """What is left of a crowd's lines after all cuts is tried, lines of more than one length included."""
     monkeypatch.setattr(line_dedup, "CROWD", 4)
