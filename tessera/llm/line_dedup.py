@@ -18,10 +18,10 @@ Candidates are verified on whole lines by banded bit-parallel edit distance.
 
 Sketches.  A line's sketch has two bits for each of ``LETTERS`` characters: how
 often the line has it, modulo 4, in Gray code.  An edit moves two counts by one
-at most and a step of a count flips one bit, so linked lines' sketches differ in
-2 e bits at most.  Lines that share a key make a pair only then; which
-characters are counted decides how many pairs are verified, never which lines
-are linked.
+at most, one that changes the length moves one, and a step of a count flips one
+bit: linked lines' sketches differ in 2 e bits at most, less the difference in
+length.  Lines that share a key make a pair only then; which characters are
+counted decides how many pairs are verified, never which lines are linked.
 
 Crowds.  A key that more than ``CROWD`` lines share makes no pairs of them at
 first.  All its lines are verified against one of them; a crowd whose lines are
@@ -64,7 +64,7 @@ CROWD = 16
 #: Lines of a crowd that are compared by their sketches; a larger crowd is cut.
 PAIRED = 2000
 #: Characters that a sketch counts, two bits each.
-LETTERS = 20
+LETTERS = 32
 #: Windows into which a crowd's lines are cut.
 WINDOWS = 6
 _LAST = (1 << 63) - 1
@@ -110,11 +110,10 @@ def probes(errors: int) -> list[tuple[int, int, int]]:
     return [(k, r, s) for k, r in ranked for s in range(-r, r + 1)]
 
 
-def _start(number: int, rank: int, shift: int, half: int) -> Column:
-    """Start (from 1) of a probe's substring; ``seg`` is the segments' length."""
-    if number < half:
-        return F.lit(1 + shift) + F.lit(rank) * F.col("seg")
-    return F.col("chars") - F.lit(rank + 1) * F.col("seg") + F.lit(1 - shift)
+def _start() -> Column:
+    """Start (from 1) of a probe ``p``'s substring; ``seg`` is the segments' length."""
+    front = 1 + F.col("p.shift") + F.col("p.rank") * F.col("seg")
+    return F.when(F.col("p.front"), front).otherwise(F.col("chars") - (F.col("p.rank") + 1) * F.col("seg") + 1 - F.col("p.shift"))
 
 
 def _top_rows(docs: DataFrame, rate: int, most: int, min_chars: int) -> DataFrame:
@@ -146,10 +145,6 @@ def _by_errors(most: int, value: Callable[[int], Column]) -> Column:
     return out
 
 
-def _key(e: int, k: int, r: int, s: int) -> Column:
-    return F.xxhash64("grp", F.lit(k), F.substring(F.col("line"), _start(k, r, s, (e + 2) // 2), F.col("seg")))
-
-
 def _mark(own: Column) -> Column:
     """The id, with the sign bit set for an own segment of an indexed line."""
     return F.when(own, F.col("id").bitwiseOR(F.lit(_SIGN))).otherwise(F.col("id").bitwiseAND(F.lit(_LAST)))
@@ -160,11 +155,17 @@ def _ordered(errors: int) -> list[tuple[int, int, int]]:
     return sorted(probes(errors), key=lambda p: p[2] != 0)
 
 
-def _exploded(rows: DataFrame, most: int, *kept: str) -> DataFrame:
-    """``key, mark, at`` and kept columns for every segment and probe of every row."""
-    keys = _by_errors(most, lambda e: F.array(*[_key(e, k, r, s) for k, r, s in _ordered(e)]))
-    exploded = _segmented(rows).select("id", "own", "errors", *kept, F.posexplode(keys).alias("at", "key"))
-    return exploded.select("key", _mark(F.col("own") & (F.col("at") <= F.col("errors"))).alias("mark"), "id", "at", "errors", *kept)
+def _exploded(rows: DataFrame, most: int) -> DataFrame:
+    """``key, id, mark, start, seg, chars, base, errors`` for every segment and probe of every row."""
+
+    def probe(at: int, e: int, k: int, r: int, s: int) -> Column:
+        return F.struct(F.lit(at <= e).alias("own"), F.lit(k).alias("number"), F.lit(r).alias("rank"), F.lit(s).alias("shift"), F.lit(k < (e + 2) // 2).alias("front"))
+
+    # constants are exploded, and keys computed of them then: an expression inside explode isn't compiled
+    numbered = _by_errors(most, lambda e: F.array(*[probe(at, e, *p) for at, p in enumerate(_ordered(e))]))
+    exploded = _segmented(rows).withColumn("p", F.explode(numbered)).withColumn("start", _start())
+    key = F.xxhash64("grp", F.col("p.number"), F.substring(F.col("line"), F.col("start"), F.col("seg")))
+    return exploded.select(key.alias("key"), "id", _mark(F.col("own") & F.col("p.own")).alias("mark"), "start", "seg", "chars", "base", "errors")
 
 
 def _shared_keys(rows: DataFrame, most: int) -> DataFrame:
@@ -179,10 +180,9 @@ def _met_keys(marked: DataFrame) -> DataFrame:
 
 def _members(rows: DataFrame, most: int, shared: DataFrame) -> DataFrame:
     """``key, id, mark, start, seg, chars, base, errors``: the rows with a shared key."""
-    met = join_few(_exploded(rows, most, "chars", "base", "seg"), shared, "key", "left_semi")
-    start = _by_errors(most, lambda e: F.element_at(F.array(*[_start(k, r, s, (e + 2) // 2) for k, r, s in _ordered(e)]), F.col("at") + 1))
+    met = join_few(_exploded(rows, most), shared, "key", "left_semi")
     # a hot line has its keys in every document that has it: combined before the shuffle
-    return materialize(met.withColumn("start", start).drop("at").dropDuplicates(["key", "mark", "start"]), "members")
+    return materialize(met.dropDuplicates(["key", "mark", "start"]), "members")
 
 
 # ---------------------------------------------------------------- verification
@@ -304,8 +304,8 @@ def sketch(line: Column, letters: list[str]) -> Column:
     return out
 
 
-def _alike(x: str, y: str) -> Column:
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * F.col("errors")
+def _alike(x: str, y: str, longer: Column) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * F.col("errors") - longer
 
 
 # ---------------------------------------------------------------- the join
@@ -328,17 +328,17 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
         """Pairs of lines of different classes with a key, near lengths and near sketches."""
         index = rows.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("chars").alias("lx"), F.col("sketch").alias("sx"))
         other = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), F.col("sketch").alias("sy"), "errors")
-        near = F.expr("x <> y and cx <> cy and abs(lx - ly) <= errors") & _alike("sx", "sy")
+        near = F.expr("x <> y and cx <> cy and abs(lx - ly) <= errors") & _alike("sx", "sy", F.abs(F.col("lx") - F.col("ly")))
         return index.join(other, (index["key"] == other["key"]) & near).select(*pair("x", "y"))
 
     sketches = texts.select("id", sketch(F.col("line"), _letters(texts)).alias("sketch"))
     members, links, ends = materialize(members.join(sketches, "id"), "sketched").withColumn("comp", F.col("id")), None, None
     while True:
-        rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp", "sketch"))).alias("rep")
+        rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp", "sketch", "chars"))).alias("rep")
         crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), rep).where(F.col("rows") > CROWD)
         crowds = materialize(crowds, "crowds")
         small, crowded = join_few(members, crowds.select("key"), "key", "left_anti"), join_few(members, crowds, "key", "inner")
-        star = crowded.where(F.expr("id <> rep.id and comp <> rep.comp") & _alike("sketch", "rep.sketch")).select(*pair("id", "rep.id"))
+        star = crowded.where(F.expr("id <> rep.id and comp <> rep.comp") & _alike("sketch", "rep.sketch", F.abs(F.col("chars") - F.col("rep.chars")))).select(*pair("id", "rep.id"))
         near = meeting(small)
         found = verified(near.unionAll(star) if ends is None else near.unionAll(star).unionAll(ends))
         links = found if links is None else links.unionAll(found)
