@@ -21,7 +21,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words that an encoder remembers; a full cache starts afresh, so memory is bounded.
+#: Words that an encoder remembers: when half as many are new, those not asked for since the last such time are forgotten.
 CACHE_WORDS = 400_000
 #: Longer words aren't remembered.
 CACHE_WORD_CHARS = 64
@@ -37,6 +37,8 @@ _SPACE_BEFORE_SPACE = re.compile("[\x85\xa0  -     　] ")
 _ASCII_PAIRS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 #: Characters whose case, class and normal form are the same in every library here.
 _SIMPLE = re.compile("[\t\n\r !-~¡-įı-ɏ]*")
+#: Letters among them, then marks that begin no special token: a piece of letters and a piece of marks.
+_PLAIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-/:;=>?@\[-`{}~]*)")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -51,16 +53,20 @@ def pack(ids: list[int]) -> bytes:
 
 
 class _Cache(dict):
-    """Word to packed ids; asks for a missing word once."""
+    """Word to packed ids; asks for a missing word once.  ``old`` are the words of the half before."""
 
     def __init__(self, ask):
         super().__init__()
         self.ask = ask
+        self.old = {}
 
     def __missing__(self, word):
-        ids = self.ask(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.ask(word)
         if len(word) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -184,6 +190,11 @@ class WordBpe:
         self.pieces = _Cache(lambda piece: pack(self.piece(piece.encode() + self.END)))
 
     def _word(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            letters, marks = plain.groups()
+            ids = self.pieces[letters.lower()]
+            return ids + self.pieces[marks] if marks else ids
         if "<|" in word or not _SIMPLE.fullmatch(word):
             return pack(self.library.encode(word, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures
-from tessera.llm import bpe_codec, packing, queries
+from tessera.llm import bpe, bpe_codec, packing, queries
 from tessera.llm.bpe import byte_bpe, pack, word_bpe
 
 BYTE, WORD = queries.BYTE_VOCABULARY, queries.WORD_VOCABULARY
@@ -95,3 +95,27 @@ def test_histogram_packing_pads_little():
     assert placed == histogram
     filled = sum(k * v for k, v in histogram.items())
     assert filled / (2048 * sum(count for _, count in packs)) > 0.99
+
+
+def test_a_frequent_word_is_remembered_when_a_cache_is_full(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    asked = Counter()
+
+    def ask(word):
+        asked[word] += 1
+        return word.encode()
+
+    cache = bpe._Cache(ask)
+    for k in range(200):
+        assert cache["the"] == b"the" and cache[str(k)] == str(k).encode()
+        assert len(cache) + len(cache.old) <= 10
+    assert asked["the"] == 1
+
+
+def test_letters_and_marks_are_pieces_of_their_own(monkeypatch):
+    codec = word_bpe(WORD)
+    words = [a + b for a in ("The", "\u00c9t\u00e9", "\u0139e") for b in ("", ".", "',", "?!", "&&&", "_", "'s")]
+    monkeypatch.setattr(codec, "pattern", None)  # only a word that isn't so is cut by the pattern
+    for word in words:
+        if not word.endswith("'s"):
+            assert codec._word(word) == pack(codec.library.encode(word, add_special_tokens=False).ids)
