@@ -24,8 +24,8 @@ length.  Lines that share a key make a pair only then; which characters are
 counted decides how many pairs are verified, never which lines are linked.
 
 Crowds.  A key that more than ``CROWD`` lines share makes no pairs of them at
-first.  All its lines are verified against one of them; a crowd whose lines are
-then in one class is done.  Up to ``PAIRED`` lines, those of different classes
+first.  All its lines are verified against the one whose sketch is nearest to
+the middle of theirs; a crowd whose lines are then in one class is done.  Up to ``PAIRED`` lines, those of different classes
 then make pairs by their sketches.  In larger crowds lines meet by exact length too, the shared segment
 is cut out, and where that leaves a crowd the rest is cut into ``WINDOWS`` windows: e edits lie in e of them at most, so linked lines
 share all of the rest but those windows, a longer key.  Windows are cut again
@@ -78,7 +78,8 @@ def line_hashes(line: Column) -> list[Column]:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, place, line`` for each line that isn't empty."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")  # once a text, not once a line
+    lines = hashed.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return lines.where(F.col("line") != "")
 
 
@@ -163,8 +164,10 @@ def _exploded(rows: DataFrame, most: int) -> DataFrame:
 
     # constants are exploded, and keys computed of them then: an expression inside explode isn't compiled
     numbered = _by_errors(most, lambda e: F.array(*[probe(at, e, *p) for at, p in enumerate(_ordered(e))]))
-    exploded = _segmented(rows).withColumn("p", F.explode(numbered)).withColumn("start", _start())
-    key = F.xxhash64("grp", F.col("p.number"), F.substring(F.col("line"), F.col("start"), F.col("seg")))
+    # four bytes a character: a part is found at once, where UTF-8 is counted through twice for each probe
+    wide = _segmented(rows).withColumn("wide", F.encode("line", "UTF-32")).drop("line")
+    exploded = wide.withColumn("p", F.explode(numbered)).withColumn("start", _start())
+    key = F.xxhash64("grp", F.col("p.number"), F.substring(F.col("wide"), 4 * F.col("start") - 3, 4 * F.col("seg")))
     return exploded.select(key.alias("key"), "id", _mark(F.col("own") & F.col("p.own")).alias("mark"), "start", "seg", "chars", "base", "errors")
 
 
@@ -308,6 +311,21 @@ def _alike(x: str, y: str, longer: Column) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * F.col("errors") - longer
 
 
+def _central(crowded: DataFrame) -> DataFrame:
+    """``key, rep``: of each crowd the indexed line whose sketch is nearest to the middle one, which has the bits that most lines have.
+
+    Copies of one line differ from each other in twice as many edits as from
+    that line: verified against it, most of them are in its class at once.
+    """
+    own = crowded.where("mark < 0")
+    bit = lambda k: F.shiftright("sketch", k).bitwiseAND(F.lit(1).cast("long"))
+    counts = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit(k)).alias(f"b{k}") for k in range(2 * LETTERS)])
+    bits = [F.shiftleft((2 * F.col(f"b{k}") > F.col("n")).cast("long"), k) for k in range(2 * LETTERS)]
+    middle = materialize(counts.select("key", reduce(Column.bitwiseOR, bits).alias("middle")), "middles")
+    away = F.bit_count(F.col("sketch").bitwiseXOR(F.col("middle"))).alias("away")
+    return materialize(join_few(own, middle, "key", "inner").groupBy("key").agg(F.min(F.struct(away, "id", "comp", "sketch", "chars")).alias("rep")), "central")
+
+
 # ---------------------------------------------------------------- the join
 
 def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -327,17 +345,18 @@ def edit_links(docs: DataFrame, rate: int = RATE, most: int = MOST, min_chars: i
     def meeting(rows: DataFrame) -> DataFrame:
         """Pairs of lines of different classes with a key, near lengths and near sketches."""
         index = rows.where("mark < 0").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("chars").alias("lx"), F.col("sketch").alias("sx"))
-        other = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), F.col("sketch").alias("sy"), "errors")
-        near = F.expr("x <> y and cx <> cy and abs(lx - ly) <= errors") & _alike("sx", "sy", F.abs(F.col("lx") - F.col("ly")))
+        other = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("chars").alias("ly"), F.col("sketch").alias("sy"), "mark", "errors")
+        # two indexed lines meet once, not once from each side
+        near = F.expr("x <> y and (mark >= 0 or x < y) and cx <> cy and abs(lx - ly) <= errors") & _alike("sx", "sy", F.abs(F.col("lx") - F.col("ly")))
         return index.join(other, (index["key"] == other["key"]) & near).select(*pair("x", "y"))
 
     sketches = texts.select("id", sketch(F.col("line"), _letters(texts)).alias("sketch"))
     members, links, ends = materialize(members.join(sketches, "id"), "sketched").withColumn("comp", F.col("id")), None, None
     while True:
-        rep = F.min(F.when(F.col("mark") < 0, F.struct("id", "comp", "sketch", "chars"))).alias("rep")
-        crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), rep).where(F.col("rows") > CROWD)
-        crowds = materialize(crowds, "crowds")
-        small, crowded = join_few(members, crowds.select("key"), "key", "left_anti"), join_few(members, crowds, "key", "inner")
+        crowds = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWD), "crowds")
+        small = join_few(members, crowds.select("key"), "key", "left_anti")
+        crowded = materialize(join_few(members, crowds, "key", "inner"), "crowded")
+        crowded = join_few(crowded, _central(crowded), "key", "inner")
         star = crowded.where(F.expr("id <> rep.id and comp <> rep.comp") & _alike("sketch", "rep.sketch", F.abs(F.col("chars") - F.col("rep.chars")))).select(*pair("id", "rep.id"))
         near = meeting(small)
         found = verified(near.unionAll(star) if ends is None else near.unionAll(star).unionAll(ends))

@@ -172,6 +172,26 @@ def test_a_crowd_of_unlinked_copies_makes_no_windows(spark, monkeypatch):
     assert sum(n for name, n in sizes if name == "pairs") < len(lines) * 4
 
 
+def test_copies_of_one_line_meet_through_it(spark, monkeypatch):
+    """Copies four edits from one line and eight from each other are one class by it, and make few pairs besides."""
+    rng = random.Random(13)
+    base = fixtures.words(rng, 80)[:400]
+    places = rng.sample(range(400), 80)
+    lines = sorted({base} | {base[:k] + "".join(rng.choice("abcdefghilmnorstu") for _ in range(4)) + base[k:] for k in places})
+    sizes, plain = [], line_dedup.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    got = spanned(spark, lines)
+    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if linked(a, b)}
+    assert joined(lines, got) == joined(lines, want) and len(set(joined(lines, want).values())) == 1
+    assert sum(n for name, n in sizes if name == "pairs") < 3 * len(lines)
+
+
 def test_lines_of_very_few_letters(spark, monkeypatch):
     """What is left of a crowd's lines after all cuts is tried, lines of more than one length included."""
     monkeypatch.setattr(line_dedup, "CROWD", 4)
