@@ -3,11 +3,14 @@
 Fingerprints: 64 majority bits over the XXH64 hashes of a text's word shingles.
 Links: two fingerprints that differ in at most ``errors`` bits.
 
-The trie is cut into independent parts by pigeonhole: of ``errors + 1`` blocks
-of bits, a linked pair agrees in one at least, so each distinct fingerprint
-goes to one part for each block, and in a part a trie self-join starts from the
-node of the shared block.  It walks node pairs together, adds up differing bits
-and drops a pair beyond the budget.  Only connectivity is asked for, so the
+The trie is cut into independent parts by pigeonhole: of ``errors + SHARED``
+blocks of bits, a linked pair agrees in ``SHARED`` at least, so each distinct
+fingerprint goes to one part for each choice of so many blocks, and in a part a
+trie self-join starts from the node of the shared blocks.  With one block of 12
+bits a part's codes, and with them its node pairs, grow with the corpus from
+the first; with two, chance leaves a part one code up to millions of them.  The
+join walks node pairs together, adds up differing bits and drops a pair beyond
+the budget.  Only connectivity is asked for, so the
 walk runs with growing budgets and also drops pairs of nodes whose leaves are
 all in one component already: a dense group costs no pairs of its members.
 Parts give spanning links, which ``components.connected`` joins.
@@ -21,6 +24,7 @@ unless it is the only id there.  Repeated rows repeat in the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,8 @@ SEED = 42
 FRONTIER = 1_000_000
 #: Codes held at once, but for a larger single block value.
 HELD_ROWS = 1 << 20
-#: Parts of the trie for each shuffle partition.
-PARTS = 4
+#: Blocks of bits in which the codes of a part agree.
+SHARED = 2
 #: Shingle hashes whose bits are counted at once.
 COUNT_ROWS = 1 << 17
 
@@ -171,23 +175,22 @@ def trie_join(codes: np.ndarray, firsts: np.ndarray, errors: int) -> np.ndarray:
     return parent
 
 
-def blocks_of(errors: int) -> list[tuple[int, int]]:
-    """Offsets and widths of ``errors + 1`` blocks of bits."""
-    k = errors + 1
+def shared_bits(errors: int) -> list[int]:
+    """A mask for each choice of ``SHARED`` of ``errors + SHARED`` blocks of bits; a linked pair agrees under one at least."""
+    k = errors + SHARED
     cuts = [BITS * i // k for i in range(k + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(chosen) for chosen in combinations(blocks, SHARED)]
 
 
 def links(codes: DataFrame, errors: int = ERRORS) -> DataFrame:
     """``a, b``: links that span each component of a column ``fp`` of distinct fingerprints."""
-    keys = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1).alias("value"))
-        for i, (a, w) in enumerate(blocks_of(errors))
-    ]
+    masks = [m - (1 << BITS if m >> (BITS - 1) else 0) for m in shared_bits(errors)]
+    keys = [F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(masks)]
     n = shuffle_partitions(codes.sparkSession)
     # a part is one task's at a time: its rows come sorted, so only one block value's codes are held
     dealt = codes.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.block", "key.value", "fp")
-    dealt = dealt.repartition(PARTS * n, "block", "value").sortWithinPartitions("block", "value")
+    dealt = dealt.repartition(n, "block", "value").sortWithinPartitions("block", "value")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of one block value, many small ones at a time."""
@@ -201,15 +204,16 @@ def links(codes: DataFrame, errors: int = ERRORS) -> DataFrame:
             cut = len(fp) if upto else (int(change[-1]) if len(change) else 0)
             held, rows = [(block[cut:], value[cut:], fp[cut:])], len(fp) - cut
             limit = max(HELD_ROWS, 2 * rows)
-            if cut:
-                own = fp[:cut].view(np.uint64)
-                group = np.zeros(cut, np.int64)
-                group[change[change < cut]] = 1
-                order = np.lexsort((own, np.cumsum(group)))
-                own = own[order]
-                firsts = np.r_[0, change[change < cut]]
-                parent = trie_join(own, firsts, errors)
-                linked = np.flatnonzero(parent != np.arange(cut))
+            firsts = np.r_[0, change[change < cut]]
+            sizes = np.diff(np.r_[firsts, cut])
+            # most codes are alone in their part
+            met = np.repeat(sizes > 1, sizes)
+            if met.any():
+                sizes = sizes[sizes > 1]
+                own = fp[:cut][met].view(np.uint64)
+                own = own[np.lexsort((own, np.repeat(np.arange(len(sizes)), sizes)))]
+                parent = trie_join(own, np.r_[0, np.cumsum(sizes)[:-1]], errors)
+                linked = np.flatnonzero(parent != np.arange(len(own)))
                 signed = own.view(np.int64)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(signed[linked]), "b": pa.array(signed[parent[linked]])})
 

@@ -67,6 +67,32 @@ def test_trie_join_equals_brute_force(seed, errors, spread):
     assert len(pairs) == len({p for p, _ in pairs}) == len({w for _, w in pairs})
 
 
+def test_parts_hold_linked_codes_together_and_others_rarely():
+    rng = random.Random(3)
+    codes = [rng.getrandbits(64) for _ in range(20_000)]
+    for errors in range(1, 5):
+        masks = simhash.shared_bits(errors)
+        for a in codes[:500]:
+            b = a ^ sum(1 << x for x in rng.sample(range(64), errors))
+            assert any(a & m == b & m for m in masks)
+    # unrelated codes in one part cost node pairs: fewer than the codes, where one shared block would give some 146,000 here
+    met = Counter((m, c & m) for m in simhash.shared_bits(4) for c in codes)
+    assert sum(n * (n - 1) // 2 for n in met.values()) < len(codes)
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(8)
+    for errors in (1, 4):
+        centre = [rng.getrandbits(64) for _ in range(30)]
+        codes = sorted({rng.choice(centre) ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, errors + 1))) for _ in range(400)})
+        signed = [c - (1 << 64 if c >> 63 else 0) for c in codes]
+        roots = components.connected(simhash.links(spark.createDataFrame([(c,) for c in signed], "fp long"), errors))
+        got = {r["node"]: r["root"] for r in roots.collect()}
+        want = classes(codes, lambda a, b: (a ^ b).bit_count() <= errors)
+        pairs = {(got.get(c, c), w) for c, w in zip(signed, want)}
+        assert len(pairs) == len({p for p, _ in pairs}) == len({w for _, w in pairs})
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + i // 2) for i in range(1, 200)] + [(5000, i) for i in range(5001, 5300)]
