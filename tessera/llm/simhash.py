@@ -24,7 +24,7 @@ unless it is the only id there.  Repeated rows repeat in the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,9 @@ HELD_ROWS = 1 << 20
 SHARED = 2
 #: Shingle hashes whose bits are counted at once.
 COUNT_ROWS = 1 << 17
+#: A byte's eight bits, each in a byte of its own: eight counters in one sum, up to so many hashes.
+LANES = np.array([sum((v >> k & 1) << 8 * k for k in range(8)) for v in range(256)], "<u8")
+LANE_ROWS = 255
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> list[int]:
@@ -70,10 +73,13 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ones = np.zeros((len(sizes), BITS), np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     for a in range(0, len(hashes), COUNT_ROWS):
-        bits = np.unpackbits(hashes[a : a + COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = owner[a : a + COUNT_ROWS]
-        firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        ones[own[firsts]] += np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        place = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+        firsts = np.flatnonzero(place % LANE_ROWS == 0)
+        lanes = LANES[hashes[a : a + COUNT_ROWS].view(np.uint8)].reshape(-1, 8)
+        counts = np.add.reduceat(lanes, firsts, axis=0).view(np.uint8).reshape(-1, BITS)
+        np.add.at(ones, own[firsts], counts)
     set_bits = (2 * ones > sizes[:, None]).astype(np.uint8)
     return np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
 
@@ -84,7 +90,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_hashes(t or b"", width, seed) for t in batch.column(2).to_pylist()]
         sizes = np.array([len(x) for x in found], np.int64)
-        hashes = np.fromiter((h for x in found for h in x), np.uint64, int(sizes.sum()))
+        hashes = np.fromiter(chain.from_iterable(found), np.uint64, int(sizes.sum()))
         return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": pa.array(majority_bits(hashes, sizes).view(np.int64))})
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.encode("text", "UTF-8").alias("text"))

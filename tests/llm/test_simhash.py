@@ -67,6 +67,18 @@ def test_trie_join_equals_brute_force(seed, errors, spread):
     assert len(pairs) == len({p for p, _ in pairs}) == len({w for _, w in pairs})
 
 
+def test_majority_bits_of_long_runs():
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 1, 254, 255, 256, 0, 511, 70_000, 3, 140_000, 0])
+    hashes = rng.integers(0, 1 << 63, int(sizes.sum()), np.uint64) | (rng.integers(0, 8, int(sizes.sum()), np.uint64) << np.uint64(61))
+    hashes[-50_000:] = np.uint64(2**64 - 1)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+    ends = np.cumsum(sizes)
+    want = [sum(1 << b for b in np.flatnonzero(2 * bits[e - n : e].sum(axis=0) > n).tolist()) for e, n in zip(ends, sizes)]
+    assert simhash.majority_bits(hashes, sizes).tolist() == want
+    assert simhash.majority_bits(np.array([], np.uint64), np.array([0, 0])).tolist() == [0, 0]
+
+
 def test_parts_hold_linked_codes_together_and_others_rarely():
     rng = random.Random(3)
     codes = [rng.getrandbits(64) for _ in range(20_000)]
